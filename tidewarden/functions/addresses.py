@@ -31,74 +31,63 @@ _MAPPED_PRIVATE = PRIVATE_NETWORKS[:5]
 _MAPPED_LEAD = "0" * 80 + "1" * 16
 
 
-def _v4_bits(text: Column) -> Column:
-    return F.array_join(
-        F.transform(F.split(text, r"\."), lambda octet: F.lpad(F.conv(octet, 10, 2), 8, "0")), "")
+# -- SQL text; arguments are names of columns or of lambda variables ------------------------
 
 
-def _inline_v4_tail(text: Column) -> Column:
-    """Rewrite a dotted tail (``::ffff:1.2.3.4``) as two hexadecimal groups."""
+def _v4_bits(text: str) -> str:
+    return rf"array_join(transform(split({text}, r'\.'), o -> lpad(conv(o, 10, 2), 8, '0')), '')"
 
-    def as_groups(octets: Column) -> Column:
-        two_digits = F.transform(octets, lambda o: F.lower(F.lpad(F.conv(o, 10, 16), 2, "0")))
-        return let(two_digits, lambda h: F.concat(h[0], h[1], F.lit(":"), h[2], h[3]))
 
-    tail = F.regexp_extract(text, rf":({_V4})$", 1)
-    head = F.regexp_extract(text, rf"^(.*:){_V4}$", 1)
-    return F.when(text.rlike(rf":{_V4}$"), F.concat(head, as_groups(F.split(tail, r"\.")))).otherwise(text)
+def _inline_v4_tail(text: str) -> str:
+    """Rewrite a dotted tail (``::ffff:1.2.3.4``) as two hexadecimal groups."""
+    hexed = rf"transform(split(regexp_extract({text}, r':({_V4})$', 1), r'\.'), o -> lower(lpad(conv(o, 10, 16), 2, '0')))"
+    joined = let(hexed, "h", rf"concat(regexp_extract({text}, r'^(.*:){_V4}$', 1), h[0], h[1], ':', h[2], h[3])")
+    return f"CASE WHEN {text} RLIKE r':{_V4}$' THEN {joined} ELSE {text} END"
 
 
-def _v6_bits(text: Column) -> Column:
+def _v6_bits(text: str) -> str:
     """Bits of an IPv6 text, null when it is malformed."""
 
-    def groups(part: Column) -> Column:
-        return F.filter(F.split(part, ":"), lambda g: g != "")
+    def groups(part: str) -> str:
+        return f"filter(split({part}, ':'), g -> g <> '')"
+
+    eight = (
+        f"CASE WHEN p RLIKE r'{_V6_FULL}' THEN split(p, ':') "
+        f"WHEN p RLIKE r'{_V6_SHORT}' AND size(l) + size(r) < 8 "
+        f"THEN concat(l, array_repeat('0', greatest(8 - size(l) - size(r), 0)), r) END")
+    halves = let(groups("substring_index(p, '::', 1)"), "l", let(groups("substring_index(p, '::', -1)"), "r", eight))
+    bits = f"array_join(transform({halves}, g -> lpad(conv(g, 16, 2), 16, '0')), '')"
+    return let(f"lower({text})", "w", let(_inline_v4_tail("w"), "p", bits))
 
-    def expand(plain: Column, left: Column, right: Column) -> Column:
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-        return F.when(plain.rlike(_V6_FULL), F.split(plain, ":")).when(
-            plain.rlike(_V6_SHORT) & (missing >= 1), F.concat(left, zeros, right))
 
-    def bits(plain: Column) -> Column:
-        eight = let(groups(F.substring_index(plain, "::", 1)), lambda left: let(
-            groups(F.substring_index(plain, "::", -1)), lambda right: expand(plain, left, right)))
-        return F.array_join(F.transform(eight, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+def _host_bits(host: str) -> str:
+    return f"CASE WHEN {host} RLIKE r'^{_V4}$' THEN {_v4_bits(host)} WHEN contains({host}, ':') THEN {_v6_bits(host)} END"
 
-    return let(_inline_v4_tail(F.lower(text)), bits)
 
+def parse_address_sql(column: str) -> str:
+    described = (
+        "CASE WHEN b IS NOT NULL AND coalesce(n, length(b)) <= length(b) THEN named_struct("
+        "'kind', CASE WHEN n IS NULL THEN 'address' ELSE 'prefix' END, "
+        "'family', CASE WHEN length(b) = 32 THEN 4 ELSE 6 END, "
+        "'bits', b, 'prefix_len', coalesce(n, length(b))) END")
+    host = (
+        "CASE WHEN contains(t, '/') THEN regexp_extract(t, r'^([^/%]+)/(?:0|[1-9][0-9]{0,2})$', 1) "
+        "ELSE regexp_replace(t, r'(?<=:.{0,45})%.+$', '') END")
+    length = "try_cast(regexp_extract(t, r'^[^/%]+/(0|[1-9][0-9]{0,2})$', 1) AS INT)"
+    return let(column, "t", let(length, "n", let(host, "a", let(_host_bits("a"), "b", described))))
 
-def _host_bits(host: Column) -> Column:
-    return F.when(host.rlike(rf"^{_V4}$"), _v4_bits(host)).when(F.contains(host, F.lit(":")), _v6_bits(host))
 
+# -- columns --------------------------------------------------------------------------------
 
-def parse_address(text: Column) -> Column:
-    """``struct(kind, family, bits, prefix_len)``; null when neither address nor prefix.
+
+def parse_address(column: str) -> Column:
+    """``struct(kind, family, bits, prefix_len)`` of a named column; null when its text is
+    neither address nor prefix.
 
     ``kind`` is ``address`` or ``prefix``. Octets with leading zeros, zones on prefixes
     and prefix lengths with signs or leading zeros are refused.
     """
-
-    def described(length: Column, bits: Column) -> Column:
-        total = F.length(bits)
-        return F.when(
-            bits.isNotNull() & (F.coalesce(length, total) <= total),
-            F.struct(
-                F.when(length.isNull(), F.lit("address")).otherwise(F.lit("prefix")).alias("kind"),
-                F.when(total == 32, F.lit(4)).otherwise(F.lit(6)).alias("family"),
-                bits.alias("bits"),
-                F.coalesce(length, total).alias("prefix_len"),
-            ),
-        )
-
-    def parsed(t: Column) -> Column:
-        # groups: host, and a prefix length when there is a slash
-        length = F.regexp_extract(t, r"^[^/%]+/(0|[1-9][0-9]{0,2})$", 1).try_cast("int")
-        host = F.when(F.contains(t, F.lit("/")), F.regexp_extract(t, r"^([^/%]+)/(?:0|[1-9][0-9]{0,2})$", 1)).otherwise(
-            F.regexp_replace(t, r"(?<=:.{0,45})%.+$", ""))
-        return let(length, lambda n: let(_host_bits(host), lambda b: described(n, b)))
-
-    return let(text, parsed)
+    return F.expr(parse_address_sql(column))
 
 
 def network_bits(cidr: str) -> str:
@@ -107,28 +96,23 @@ def network_bits(cidr: str) -> str:
     return format(int(net.network_address), f"0{net.max_prefixlen}b")[: net.prefixlen]
 
 
-def _within(bits: Column, cidrs: Iterable[str]) -> Column:
-    hit = F.lit(False)
+def _within(bits: str, cidrs: Iterable[str]) -> str:
+    tests = []
     for cidr in cidrs:
         width = ipaddress.ip_network(cidr).max_prefixlen
-        hit = hit | ((F.length(bits) == width) & bits.startswith(network_bits(cidr)))
-    return hit
+        tests.append(f"(length({bits}) = {width} AND startswith({bits}, '{network_bits(cidr)}'))")
+    return " OR ".join(tests)
 
 
-def is_private(text: Column) -> Column:
+def is_private(column: str) -> Column:
     """Private, loopback, link-local, unspecified or carrier-grade NAT address.
 
     A prefix is judged by its own address; text that is neither gives false.
     """
+    mapped = let("substring(b, 97, 32)", "m", _within("m", _MAPPED_PRIVATE))
+    hit = f"{_within('b', PRIVATE_NETWORKS)} OR (startswith(b, '{_MAPPED_LEAD}') AND {mapped})"
+    return F.expr(f"coalesce({let(parse_address_sql(column) + '.bits', 'b', hit)}, false)")
 
 
-    def hit(bits: Column) -> Column:
-        mapped = (F.length(bits) == 128) & bits.startswith(_MAPPED_LEAD) & _within(F.substring(bits, 97, 32), _MAPPED_PRIVATE)
-        return _within(bits, PRIVATE_NETWORKS) | mapped
-
-    return F.coalesce(let(parse_address(text).getField("bits"), hit), F.lit(False))
-
-
-def is_unspecified(text: Column) -> Column:
-    bits = parse_address(text).getField("bits")
-    return F.coalesce(~F.contains(bits, F.lit("1")), F.lit(False))
+def is_unspecified(column: str) -> Column:
+    return F.expr(f"coalesce(NOT contains({parse_address_sql(column)}.bits, '1'), false)")

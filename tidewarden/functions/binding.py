@@ -1,16 +1,10 @@
-"""Naming an intermediate value inside one column expression."""
+"""Naming an intermediate value inside one SQL expression."""
 
-from __future__ import annotations
 
-from collections.abc import Callable
+def let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once.
 
-from pyspark.sql import Column, functions as F
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
-
-    Column expressions are trees: using a sub-expression twice copies it, and copies of
-    copies grow without bound. A lambda variable keeps the tree small.
+    Expressions are trees: writing a sub-expression twice copies it, and copies of copies
+    grow without bound. A lambda variable keeps the tree small.
     """
-    return F.get(F.transform(F.array(value), body), 0)
+    return f"get(transform(array({value}), {name} -> {body}), 0)"

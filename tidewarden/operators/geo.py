@@ -36,7 +36,7 @@ def geo_lookup(clients: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def geo_public_clients(clients: DataFrame, params: Params) -> DataFrame:
-    return clients.filter(~is_private(F.col("client"))) if params.geoip_skip_private else clients
+    return clients.filter(~is_private("client")) if params.geoip_skip_private else clients
 
 
 def _geo_detections(located: DataFrame, params: Params, as_of: datetime) -> DataFrame:

@@ -6,11 +6,13 @@ State lives in DataFrames. A step takes the present tables and gives back the ne
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.functions.addresses import parse_address
@@ -26,6 +28,9 @@ from tidewarden.sources.tables import upsert, whitelist_replace
 
 BLOCKLIST = "external-blocklist"
 
+# executors then need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class Step:
@@ -274,7 +279,7 @@ def enforcement_set(bans: DataFrame, now: int) -> DataFrame:
     live = bans.filter(~F.coalesce(
         (F.col("ban_until_epoch") > 0) & ~F.col("is_permanent") & (F.col("ban_until_epoch") <= now), F.lit(False)))
     timed = ~F.col("is_permanent") & (F.col("ban_until_epoch") > 0)
-    return live.withColumn("family", parse_address(F.col("client_ip")).getField("family")).filter(
+    return live.withColumn("family", parse_address("client_ip")["family"]).filter(
         "family IS NOT NULL").select(
         "family", "client_ip",
         F.when(timed, F.col("ban_until_epoch") - F.lit(now)).otherwise(F.lit(0)).cast("long").alias("timeout"))
@@ -292,39 +297,41 @@ def _fold(params: Params):
     Batches arrive sorted by client and time, a client may span several of them, and only
     the present client's state is held. Within a batch the walk jumps from ban to ban.
     """
+    base, growth, lag = params.ban_duration, max(params.progressive_multiplier, 1), params.sweep_lag
+    climb, top, reset_after = params.progressive_enabled, params.progressive_max_level, params.progressive_reset_after
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holder, level, last, eligible = None, 0, 0, 0
+        holder, level, last, eligible = None, 0, 0, None
         for batch in batches:
             if batch.empty:
                 continue
             seconds = batch["at_epoch"].to_numpy()
             names = batch["client"].to_numpy()
             permanent = batch["permanent"].to_numpy()
-            climbing = (batch["source"].to_numpy() == "monitor") & ~permanent & params.progressive_enabled
+            climbing = (batch["source"].to_numpy() == "monitor") & ~permanent & climb
             edges = np.flatnonzero(names[1:] != names[:-1]) + 1
-            picked = []
+            opened = []
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(names)]):
                 if names[lo] != holder:
-                    holder, level, last, eligible = names[lo], 0, 0, -(2**62)
+                    holder, level, last, eligible = names[lo], 0, 0, seconds[lo]
                 i = int(lo)
                 while eligible is not None:
                     i += int(np.searchsorted(seconds[i:hi], eligible))
                     if i >= hi:
                         break
-                    now, shown, forever, length = int(seconds[i]), 0, bool(permanent[i]), params.ban_duration
+                    now, shown, forever, length = int(seconds[i]), 0, bool(permanent[i]), base
                     if climbing[i]:
-                        level = 1 if level == 0 or now - last > params.progressive_reset_after else level + 1
+                        level = 1 if level == 0 or now - last > reset_after else level + 1
                         last, shown = now, level
-                        length = params.ban_duration * max(params.progressive_multiplier, 1) ** min(level - 1, 64)
-                        length = min(length, MAX_DURATION) if level > 1 else params.ban_duration
-                        if 0 < params.progressive_max_level <= level:
+                        if level > 1:
+                            length = min(base * growth ** min(level - 1, 64), MAX_DURATION)
+                        if 0 < top <= level:
                             forever, length = True, 0
                     timed = not forever and length > 0
-                    picked.append((i, shown, length, now + length if timed else 0, forever))
-                    eligible = now + length + params.sweep_lag if timed else None
-            if picked:
-                rows, levels, lengths, untils, forevers = zip(*picked)
+                    opened.append((i, shown, length, now + length if timed else 0, forever))
+                    eligible = now + length + lag if timed else None
+            if opened:
+                rows, levels, lengths, untils, forevers = zip(*opened)
                 yield batch.iloc[list(rows)][["client", "at_epoch", "target", "n", "protocol", "reason", "source"]].assign(
                     offense_level=np.array(levels, "int32"), ban_duration=np.array(lengths, "int64"),
                     ban_until_epoch=np.array(untils, "int64"), is_permanent=np.array(forevers))

@@ -25,7 +25,7 @@ def matching_networks(clients: DataFrame, networks: DataFrame) -> DataFrame:
     networks themselves are joined on their leading bits, without a range condition and
     without pairing rows inside a bucket.
     """
-    parsed = networks.withColumn("_a", parse_address(F.col("network"))).filter("_a IS NOT NULL").select(
+    parsed = networks.withColumn("_a", parse_address("network")).filter("_a IS NOT NULL").select(
         *networks.columns, F.col("_a.prefix_len").alias("prefix_len"),
         F.length("_a.bits").alias("width"),
         F.expr("substring(_a.bits, 1, _a.prefix_len)").alias("lead"))
@@ -33,7 +33,7 @@ def matching_networks(clients: DataFrame, networks: DataFrame) -> DataFrame:
         F.array(F.lit(0)))
     spread = parsed.withColumn("salt", F.explode(salts))
 
-    address = clients.withColumn("_a", parse_address(F.col("client"))).filter(
+    address = clients.withColumn("_a", parse_address("client")).filter(
         "_a.kind = 'address' AND NOT contains(client, '%')").select("client", _unmapped(F.col("_a.bits")).alias("bits"))
     lengths = F.broadcast(parsed.select("width", "prefix_len").distinct())
     probes = address.withColumn("width", F.length("bits")).join(lengths, "width").select(

@@ -41,7 +41,7 @@ def _ban_message(df: DataFrame, params: Params) -> Column:
     ip = _labelled("IP", F.col("client_ip"))
     country = _lines(
         f"\U0001F30D {params.product_name} GeoIP-Sperre auf {params.host_name}", "---", ip,
-        _labelled("Land", F.col("geoip_country")), _labelled("Modus", geo_mode_label(F.col("geoip_mode"))),
+        _labelled("Land", F.coalesce("geoip_country", F.lit(""))), _labelled("Modus", geo_mode_label(F.col("geoip_mode"))),
         _labelled("Dauer", duration_label(F.col("ban_duration"), F.col("is_permanent"))), "", url)
     other = _lines(
         f"\U0001F6AB {params.product_name} Ban auf {params.host_name}",

@@ -10,6 +10,24 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+BUILD_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # expressions are built by the dozen; tracing each call site costs more than the call
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def build(app: str = "tidewarden", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings above; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    extra = {key.replace("__", "."): value for key, value in conf.items()}
+    for key, value in {**RUNTIME_CONF, **BUILD_CONF, **extra}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def prepare(spark: SparkSession) -> SparkSession:

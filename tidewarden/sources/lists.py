@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewarden.functions.addresses import is_unspecified, parse_address
-from tidewarden.functions.binding import let
 from tidewarden.functions.domains import is_hostname
 from tidewarden.functions.text import strip
 
@@ -30,24 +29,18 @@ def list_latest_good(snapshots: DataFrame, order: str = "fetched_at") -> DataFra
     return good.join(newest, ["source_name", order], "left_semi")
 
 
-def list_entry(line: Column) -> Column:
-    """The usable entry of one list line, or null."""
-
-    def of_fields(fields: Column) -> Column:
-        return F.when(F.size(fields) == 1, fields[0]).when(fields[0].rlike(_SINK_ADDRESS), F.get(fields, 1))
-
-    def usable(entry: Column) -> Column:
-        return F.when(
-            ~F.contains(entry, F.lit("://")) & (parse_address(entry).isNotNull() | is_hostname(entry)), entry)
-
+def list_candidate(line: Column) -> Column:
+    """What a list line offers: its only field, or the name behind a sink address."""
     # a comment may follow the entry; a line that starts with one is left empty
     body = strip(F.regexp_replace(strip(F.regexp_replace(line, "^\ufeff", "")), r"(?s)[#;].*$", ""))
-    return let(let(F.split(body, r"(?U)\s+"), of_fields), usable)
+    fields = F.split(body, r"(?U)\s+")
+    return F.when(F.size(fields) == 1, fields[0]).when(fields[0].rlike(_SINK_ADDRESS), F.get(fields, 1))
 
 
 def parse_list(lines: DataFrame) -> DataFrame:
-    """Adds ``entry`` and drops the lines that hold none."""
-    return lines.withColumn("entry", list_entry(F.col("line"))).filter("entry IS NOT NULL")
+    """Adds ``entry`` (address, prefix or host name) and drops the lines that hold none."""
+    return lines.withColumn("entry", list_candidate(F.col("line"))).filter(
+        ~F.contains("entry", F.lit("://")) & (is_hostname(F.col("entry")) | parse_address("entry").isNotNull()))
 
 
 def resolve_list(entries: DataFrame, answers: DataFrame) -> DataFrame:
@@ -57,11 +50,10 @@ def resolve_list(entries: DataFrame, answers: DataFrame) -> DataFrame:
     is kept.
     """
     tagged = entries.select("source_name", "entry").distinct().withColumn(
-        "literal", parse_address(F.col("entry")).isNotNull())
+        "literal", parse_address("entry").isNotNull())
     literal = tagged.filter("literal").select("source_name", "entry", F.col("entry").alias("address"))
-    resolvable = answers.select(F.col("host").alias("entry"), "address").filter(
-        parse_address(F.col("address")).getField("kind") == "address").filter(
-        ~is_unspecified(F.col("address"))).distinct()
+    resolvable = answers.select(F.col("host").alias("entry"), "address").distinct().filter(
+        (parse_address("address")["kind"] == "address") & ~is_unspecified("address"))
     named = tagged.filter("NOT literal").join(resolvable, "entry").select("source_name", "entry", "address")
     return literal.unionByName(named)
 
