@@ -72,8 +72,11 @@ def parse_address_sql(column: str) -> str:
         "'bits', b, 'prefix_len', coalesce(n, length(b))) END")
     host = (
         "CASE WHEN contains(t, '/') THEN regexp_extract(t, r'^([^/%]+)/(?:0|[1-9][0-9]{0,2})$', 1) "
-        "ELSE regexp_replace(t, r'(?<=:.{0,45})%.+$', '') END")
-    length = "try_cast(regexp_extract(t, r'^[^/%]+/(0|[1-9][0-9]{0,2})$', 1) AS INT)"
+        "WHEN contains(t, ':') THEN regexp_replace(t, '%.+$', '') ELSE t END")
+    # only digits reach the cast: a failing one costs more than all the rest
+    length = (
+        "CASE WHEN t RLIKE r'^[^/%]+/(?:0|[1-9][0-9]{0,2})$' "
+        "THEN CAST(regexp_extract(t, r'/([0-9]+)$', 1) AS INT) END")
     return let(column, "t", let(length, "n", let(host, "a", let(_host_bits("a"), "b", described))))
 
 

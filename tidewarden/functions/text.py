@@ -7,6 +7,12 @@ from pyspark.sql import Column, functions as F
 # Largest duration kept exact by floating-point arithmetic; longer bans are clamped to it.
 MAX_DURATION = 2**53
 
+# The characters Unicode calls white space.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Protocol labels, ban reasons and log levels shown to people.
 PROTOCOL_LABELS = {"doh": "DoH", "dot": "DoT", "doq": "DoQ", "dnscrypt": "DNSCrypt", "": "DNS", "dns": "DNS"}
 REASON_LABELS = {
@@ -22,7 +28,7 @@ LOG_LEVEL_ALIASES = {"": "INFO", "WARNING": "WARN", "ERR": "ERROR"}
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to(text: Column, default: str) -> Column:

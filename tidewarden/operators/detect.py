@@ -12,7 +12,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.functions.domains import base_domain, watchlisted
+from tidewarden.functions.domains import base_domain, below_base_domain, watchlisted
 from tidewarden.operators.slices import SECOND, running_count, slice_seconds, slice_start
 from tidewarden.params import Params
 from tidewarden.sources.querylog import epoch_nanos
@@ -31,11 +31,11 @@ def _verdict(hits: DataFrame, name: Column, target: Column, reason: str, params:
     )
 
 
-def _rate_verdict(hits: DataFrame, params: Params) -> DataFrame:
+def rate_verdict(hits: DataFrame, params: Params) -> DataFrame:
     return _verdict(hits, F.col("domain"), F.col("domain"), RATE, params)
 
 
-def _flood_verdict(hits: DataFrame, params: Params) -> DataFrame:
+def flood_verdict(hits: DataFrame, params: Params) -> DataFrame:
     target = F.concat(F.lit("*."), F.col("base"))
     return _verdict(hits.withColumn("protocol", F.lit("dns")), F.col("base"), target, FLOOD, params)
 
@@ -48,7 +48,7 @@ def in_window(events: DataFrame, window: int, as_of: datetime) -> DataFrame:
 
 def subdomain_queries(events: DataFrame) -> DataFrame:
     """Queries for a name below its base domain, with that ``base``."""
-    return events.withColumn("base", base_domain(F.col("domain"))).filter("base <> '' AND base <> domain")
+    return events.filter(below_base_domain(F.col("domain"))).withColumn("base", base_domain(F.col("domain")))
 
 
 # -- request rate ---------------------------------------------------------------------------
@@ -66,7 +66,7 @@ def rate_limit_snapshot(events: DataFrame, params: Params, as_of: datetime) -> D
     hits = per_protocol.groupBy("client", "domain").agg(
         F.sum("n").alias("n"), F.max_by("protocol", F.struct("last", "protocol")).alias("protocol"),
     ).filter(F.col("n") > params.rate_limit_max_requests).withColumn("at", F.lit(as_of))
-    return _rate_verdict(hits, params)
+    return rate_verdict(hits, params)
 
 
 def trailing_counts(events: DataFrame, keys: list[str], window: int, limit: int, params: Params) -> DataFrame:
@@ -100,7 +100,7 @@ def rate_limit_trailing(events: DataFrame, params: Params) -> DataFrame:
     queries = events.select("at", "client", "domain", "protocol")
     hits = trailing_counts(
         queries, ["client", "domain"], params.rate_limit_window, params.rate_limit_max_requests, params)
-    return _rate_verdict(hits, params)
+    return rate_verdict(hits, params)
 
 
 def _panes(at_us: Column, window: int, hop: int) -> Column:
@@ -132,7 +132,7 @@ def rate_limit_ticks(events: DataFrame, params: Params) -> DataFrame:
     ).groupBy("client", "domain", "start").agg(
         F.sum("n").alias("n"), F.max_by("protocol", F.struct("last", "protocol")).alias("protocol"),
     ).filter(F.col("n") > params.rate_limit_max_requests)
-    return _rate_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
+    return rate_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
 
 
 # -- distinct subdomains --------------------------------------------------------------------
@@ -143,7 +143,7 @@ def subdomain_flood_snapshot(events: DataFrame, params: Params, as_of: datetime)
     names = subdomain_queries(in_window(events, params.subdomain_flood_window, as_of))
     hits = names.groupBy("client", "base").agg(F.count_distinct("domain").alias("n")).filter(
         F.col("n") > params.subdomain_flood_max_unique).withColumn("at", F.lit(as_of))
-    return _flood_verdict(hits, params)
+    return flood_verdict(hits, params)
 
 
 def subdomain_flood_trailing(events: DataFrame, params: Params) -> DataFrame:
@@ -185,7 +185,7 @@ def subdomain_flood_trailing(events: DataFrame, params: Params) -> DataFrame:
         changes.filter("delta <> 0").drop("asked").withColumn("at", F.lit(None).cast("timestamp"))
     ).join(busy, ["client", "base", "slice"])
     hits = running_count(rows, ["client", "base"]).filter(F.col("at").isNotNull() & (F.col("n") > limit))
-    return _flood_verdict(hits, params)
+    return flood_verdict(hits, params)
 
 
 def subdomain_flood_ticks(events: DataFrame, params: Params) -> DataFrame:
@@ -197,7 +197,7 @@ def subdomain_flood_ticks(events: DataFrame, params: Params) -> DataFrame:
         "client", "base", "domain", F.explode(_window_starts(F.col("pane"), window, hop)).alias("start")
     ).groupBy("client", "base", "start").agg(F.count_distinct("domain").alias("n")).filter(
         F.col("n") > params.subdomain_flood_max_unique)
-    return _flood_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
+    return flood_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
 
 
 # -- combining ------------------------------------------------------------------------------
