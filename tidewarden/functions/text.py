@@ -161,16 +161,6 @@ def level_number(name: str, default: str = "INFO") -> int:
     return LOG_LEVELS.get(key, LOG_LEVELS[default])
 
 
-def level_number_column(name: Column, default: str = "INFO") -> Column:
-    """Column form of :func:`level_number`."""
-    key = F.upper(strip(name))
-    spelled = {alias: LOG_LEVELS[real] for alias, real in LOG_LEVEL_ALIASES.items()} | LOG_LEVELS
-    out = F
-    for text, number in spelled.items():
-        out = out.when(key == text, F.lit(number))
-    return out.otherwise(F.lit(LOG_LEVELS[default]))
-
-
 def log_line_level(line: Column) -> Column:
     """Severity name of a log line; the most severe tag wins, none means INFO."""
     out = F

@@ -7,15 +7,17 @@ is closed on both sides for the first two and ``[start, end)`` for ticks.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.functions.domains import base_domain, below_base_domain, watchlisted
+from tidewarden.functions.domains import base_domain, below_base_domain, parent_names, watchlisted
+from tidewarden.functions.text import strip
 from tidewarden.operators.slices import SECOND, running_count, slice_seconds, slice_start
 from tidewarden.params import Params
 from tidewarden.sources.querylog import epoch_nanos
+from tidewarden.sources.tables import prune_days
 
 RATE, FLOOD, WATCHLIST = "rate-limit", "subdomain-flood", "dns-flood-watchlist"
 DETECTION_COLUMNS = ["at", "client", "target", "n", "protocol", "reason", "source", "permanent"]
@@ -42,8 +44,8 @@ def flood_verdict(hits: DataFrame, params: Params) -> DataFrame:
 
 def in_window(events: DataFrame, window: int, as_of: datetime) -> DataFrame:
     """Events from ``as_of - window`` to ``as_of``, both included."""
-    cut = F.lit(as_of) - F.make_dt_interval(secs=F.lit(window))
-    return events.filter((F.col("at") >= cut) & (F.col("at") <= F.lit(as_of)))
+    first, last = F.lit(as_of - timedelta(seconds=window)), F.lit(as_of)
+    return prune_days(events.filter(F.col("at").between(first, last)), first, last)
 
 
 def subdomain_queries(events: DataFrame) -> DataFrame:
@@ -200,6 +202,27 @@ def subdomain_flood_ticks(events: DataFrame, params: Params) -> DataFrame:
     return flood_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
 
 
+# -- watch list -----------------------------------------------------------------------------
+
+
+def escalate_watchlisted(detections: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Watch-list verdict against a table of names (``domain``) of any length.
+
+    The configured list of the detectors is a chain of comparisons; here the names above
+    each target are looked up by equality. Targets are made distinct first, so a target
+    hit a billion times is looked up once.
+    """
+    listed = watchlist.select(F.regexp_replace(F.lower(strip(F.col("domain"))), r"^\.", "").alias("name")).distinct()
+    targets = detections.select("target").distinct()
+    plain = F.regexp_replace("target", r"^\*\.", "")
+    watched = targets.select("target", F.explode(parent_names(plain)).alias("name")).join(
+        listed, "name", "left_semi").select("target", F.lit(True).alias("watched")).distinct()
+    hit = F.coalesce("watched", F.lit(False))
+    return detections.join(watched, "target", "left").withColumn(
+        "reason", F.when(hit, F.lit(WATCHLIST)).otherwise(F.col("reason"))).withColumn(
+        "permanent", hit | F.col("permanent")).select(detections.columns)
+
+
 # -- combining ------------------------------------------------------------------------------
 
 

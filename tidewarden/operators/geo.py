@@ -84,6 +84,10 @@ def geo_cache_refresh(clients: DataFrame, cache: DataFrame, ranges: DataFrame, p
     return upsert(cache, found, ["ip"])
 
 
+def geo_cache_clear(cache: DataFrame) -> DataFrame:
+    return cache.filter("false")
+
+
 def geo_auto_unban(bans: DataFrame, params: Params) -> DataFrame:
     """Country bans the present policy would not set."""
     mode, country = F.coalesce("geoip_mode", F.lit("")), F.coalesce("geoip_country", F.lit(""))

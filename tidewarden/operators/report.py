@@ -16,6 +16,7 @@ from tidewarden.functions.text import (
 from tidewarden.operators.bans import history_recent
 from tidewarden.params import Params
 from tidewarden.sources.logs import log_time
+from tidewarden.sources.tables import prune_days
 
 # Days and title of each report interval, and labels of the overview rows.
 INTERVALS = {
@@ -50,7 +51,8 @@ def busiest_since(params: Params, as_of: datetime, since: int) -> int:
 
 
 def in_range(history: DataFrame, since: int, until: int) -> DataFrame:
-    return history.filter(F.col("timestamp_epoch").between(since, until))
+    within = history.filter(F.col("timestamp_epoch").between(since, until))
+    return prune_days(within, F.timestamp_seconds(F.lit(since)), F.timestamp_seconds(F.lit(until)))
 
 
 def _bans(history: DataFrame, since: int, until: int) -> DataFrame:

@@ -108,6 +108,14 @@ def watchlist_escalation(t: Tables) -> DataFrame:
     return detect.detections_at(t.queries(), WATCHED, AS_OF)
 
 
+@query
+def watchlist_table(t: Tables) -> DataFrame:
+    """The watch list as a table: every host whose page number is divisible by five."""
+    watched = t.raw("pages").filter("page_id % 5 = 0").select(
+        F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("domain"))
+    return detect.escalate_watchlisted(detect.detections_at(t.queries(), DEMO, AS_OF), watched)
+
+
 @query
 def first_detection_per_client(t: Tables) -> DataFrame:
     return detect.first_detection_per_client(detect.detections_at(t.queries(), WATCHED, AS_OF))

@@ -341,6 +341,10 @@ FINAL = {
     "subdomain_flood_ticks": _detections("""(SELECT epoch_us(t.fin) AS at_us, s.client, '*.' || s.base AS target, count(DISTINCT s.domain) AS n, 'dns' AS protocol
       FROM ticks t JOIN subs s ON s.asked >= t.start AND s.asked < t.fin GROUP BY t.fin, s.client, s.base HAVING count(DISTINCT s.domain) > 4)""", "subdomain-flood"),
     "watchlist_escalation": "SELECT * FROM watched_snap",
+    "watchlist_table": """SELECT at_us, client, target, n, protocol, CASE WHEN w THEN 'dns-flood-watchlist' ELSE kind END AS reason, 'monitor' AS source, w AS permanent
+      FROM (SELECT s.*, EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 5 = 0 AND (s.watched = lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1))
+        OR s.watched LIKE '%.' || lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1)))) AS w
+        FROM (SELECT client, target, n, protocol, kind, watched, at_us FROM (SELECT * FROM rate_snap UNION ALL SELECT * FROM flood_snap) JOIN snap USING (client, target, n, protocol, kind)) s)""",
     "first_detection_per_client": f"SELECT * FROM watched_snap QUALIFY row_number() OVER (PARTITION BY client ORDER BY {_ORD}) = 1",
     "flood_pipeline": f"""SELECT at_us, client, domain AS target, n, protocol, CASE WHEN w THEN 'dns-flood-watchlist' ELSE 'rate-limit' END AS reason,
         'monitor' AS source, w AS permanent FROM (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,8 +74,7 @@ def dedupe_queries(events: DataFrame) -> DataFrame:
 
 def retain_recent(events: DataFrame, params: Params, as_of: datetime) -> DataFrame:
     """Events younger than the longest detection window plus its slack."""
-    cut = F.lit(as_of) - F.make_dt_interval(secs=F.lit(params.retention))
-    return events.filter(F.col("at") > cut)
+    return events.filter(F.col("at") > F.lit(as_of - timedelta(seconds=params.retention)))
 
 
 def distinct_clients(events: DataFrame) -> DataFrame:

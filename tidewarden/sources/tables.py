@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def history_append(rows: DataFrame, path: str) -> None:
@@ -17,21 +17,26 @@ def history_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def prune_days(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """On a table laid out by ``day``, read only the directories from one time to another."""
+    if "day" not in df.columns:
+        return df
+    return df.filter(F.col("day").between(F.to_date(first), F.to_date(last)))
+
+
 def read_history(spark: SparkSession, path: str, since: int | None = None, until: int | None = None) -> DataFrame:
     """History rows, filtered on the partition day as well as on the exact second."""
     rows = spark.read.parquet(path)
-    if since is not None:
-        rows = rows.filter(F.col("day") >= F.to_date(F.timestamp_seconds(F.lit(since)))).filter(
-            F.col("timestamp_epoch") >= since)
-    if until is not None:
-        rows = rows.filter(F.col("day") <= F.to_date(F.timestamp_seconds(F.lit(until)))).filter(
-            F.col("timestamp_epoch") <= until)
-    return rows
+    if since is None and until is None:
+        return rows
+    first, last = since or 0, until if until is not None else 2**40
+    within = rows.filter(F.col("timestamp_epoch").between(first, last))
+    return prune_days(within, F.timestamp_seconds(F.lit(first)), F.timestamp_seconds(F.lit(last)))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or replace: rows of ``changes`` win over rows of ``current`` with their key."""
-    untouched = current.join(changes.select(*keys).distinct(), keys, "left_anti")
+    untouched = current.join(changes.select(*keys), keys, "left_anti")
     return untouched.unionByName(changes, allowMissingColumns=True)
 
 
