@@ -37,10 +37,10 @@ def test_normalize_fields(spark):
 
 
 def test_normalize_times(spark):
-    good = ["2024-01-01T00:00:00.123456789Z", "2024-01-01T01:00:00+01:00", "2024-01-01T00:00:00,5Z"]
+    good = ["2024-01-01T00:00:00.123456789Z", "2024-01-01T00:00:00.123456789987Z", "2024-01-01T01:00:00+01:00", "2024-01-01T00:00:00,5Z"]
     bad = ["2024-01-01 00:00:00Z", "2024-01-01T00:00:00", "2024-01-01", "not-a-time", "2024-02-30T00:00:00Z", "2024-01-01T25:00:00Z", None]
     got = normalized(spark, *[item(time=t) for t in good + bad])
-    assert rows(got, "at", "at_ns") == [(at(0), 0), (at(0, 123456), 789), (at(0, 500000), 0)]
+    assert rows(got, "at", "at_ns") == [(at(0), 0), (at(0, 123456), 789), (at(0, 123456), 789), (at(0, 500000), 0)]
 
 
 def test_dedupe_keeps_nanoseconds_and_joins_offsets(spark):

@@ -128,7 +128,10 @@ def rate_limit_ticks(events: DataFrame, params: Params) -> DataFrame:
     panes = events.groupBy(
         "client", "domain", "protocol", _panes(F.unix_micros("at"), window, hop).alias("pane")
     ).agg(F.count("*").alias("n"), F.max(epoch_nanos(F.col("at"), F.col("at_ns"))).alias("last"))
-    windows = panes.withColumn("start", F.explode(_window_starts(F.col("pane"), window, hop)))
+    # pane rows do not combine before they meet, so one exchange serves both aggregations; a
+    # group holds one row per pane and protocol
+    windows = panes.withColumn("start", F.explode(_window_starts(F.col("pane"), window, hop))).repartition(
+        "client", "domain", "start")
     hits = windows.groupBy("client", "domain", "protocol", "start").agg(
         F.sum("n").alias("n"), F.max("last").alias("last")
     ).groupBy("client", "domain", "start").agg(

@@ -110,8 +110,8 @@ def watchlist_escalation(t: Tables) -> DataFrame:
 
 @query
 def watchlist_table(t: Tables) -> DataFrame:
-    """The watch list as a table: every host whose page number is divisible by five."""
-    watched = t.raw("pages").filter("page_id % 5 = 0").select(
+    """The watch list as a table: the hosts of all pages that are served encrypted."""
+    watched = t.raw("pages").filter("url LIKE 'https:%'").select(
         F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("domain"))
     return detect.escalate_watchlisted(detect.detections_at(t.queries(), DEMO, AS_OF), watched)
 
@@ -331,13 +331,14 @@ def enforcement_set(t: Tables) -> DataFrame:
 
 @query
 def manual_actions(t: Tables) -> DataFrame:
-    return ledger.manual_actions(t.commands(), t.active_bans().filter("created_seq % 20 = 0"), t.whitelist(), NOW)
+    in_force = ledger.expire_bans(t.active_bans(), NOW).active_bans
+    return ledger.manual_actions(t.commands(), in_force, t.whitelist(), NOW)
 
 
 @query
 def manual_ban_rows(t: Tables) -> DataFrame:
-    return ledger.manual_ban_rows(
-        t.commands(), t.active_bans().filter("created_seq % 20 = 0"), t.whitelist(), DEMO, NOW).select(
+    in_force = ledger.expire_bans(t.active_bans(), NOW).active_bans
+    return ledger.manual_ban_rows(t.commands(), in_force, t.whitelist(), DEMO, NOW).select(
         "client_ip", "domain", "count", "is_permanent", "reason", "source")
 
 

@@ -172,7 +172,7 @@ CTES = {
       SELECT created_seq AS seq, client_ip AS target,
         CASE CAST(created_seq % 3 AS INT) WHEN 0 THEN 'ban' WHEN 1 THEN 'unban' ELSE 'reset-offenses' END AS command
       FROM active_bans WHERE created_seq % 10 = 0""",
-    "half_bans": "SELECT * FROM active_bans WHERE created_seq % 20 = 0",
+    "in_force": "SELECT * FROM active_bans WHERE client_ip NOT IN (SELECT client_ip FROM expired)",
     "list_lines": """
       SELECT page_id, 'src' || CAST(page_id % 3 AS STRING) AS source_name,
         CASE CAST(page_id % 9 AS INT)
@@ -307,7 +307,7 @@ _BAN_MESSAGE = _bits(
     "''", f"'AbuseIPDB: ' || {_URL}")
 _FREE_MESSAGE = _bits("'✅ DNS Guard Freigabe auf dns1'", "'---'", "'IP: ' || client_ip", "'Hostname: (unbekannt)'", "''", f"'AbuseIPDB: ' || {_URL}")
 _GEO_BAN = "(reason = 'geoip' OR source = 'geoip')"
-_ALLOWED_OR_BANNED = "target IN (SELECT ip_address FROM whitelist) OR target IN (SELECT client_ip FROM half_bans)"
+_ALLOWED_OR_BANNED = "target IN (SELECT ip_address FROM whitelist) OR target IN (SELECT client_ip FROM in_force)"
 
 
 def _periods() -> str:
@@ -342,7 +342,7 @@ FINAL = {
       FROM ticks t JOIN subs s ON s.asked >= t.start AND s.asked < t.fin GROUP BY t.fin, s.client, s.base HAVING count(DISTINCT s.domain) > 4)""", "subdomain-flood"),
     "watchlist_escalation": "SELECT * FROM watched_snap",
     "watchlist_table": """SELECT at_us, client, target, n, protocol, CASE WHEN w THEN 'dns-flood-watchlist' ELSE kind END AS reason, 'monitor' AS source, w AS permanent
-      FROM (SELECT s.*, EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 5 = 0 AND (s.watched = lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1))
+      FROM (SELECT s.*, EXISTS (SELECT 1 FROM pages p WHERE p.url LIKE 'https:%' AND (s.watched = lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1))
         OR s.watched LIKE '%.' || lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1)))) AS w
         FROM (SELECT client, target, n, protocol, kind, watched, at_us FROM (SELECT * FROM rate_snap UNION ALL SELECT * FROM flood_snap) JOIN snap USING (client, target, n, protocol, kind)) s)""",
     "first_detection_per_client": f"SELECT * FROM watched_snap QUALIFY row_number() OVER (PARTITION BY client ORDER BY {_ORD}) = 1",
@@ -406,7 +406,7 @@ FINAL = {
     "manual_actions": _event(f"(SELECT target AS client_ip FROM commands WHERE command = 'ban' AND NOT ({_ALLOWED_OR_BANNED}))", "BAN", "'manual'",
                              domain="'manual'", count="'0'", duration="'permanent'") + " UNION ALL " + _event(
         "(SELECT target AS client_ip FROM commands WHERE command = 'unban')", "UNBAN", "'manual'"),
-    "manual_ban_rows": f"""SELECT client_ip, domain, "count", is_permanent, reason, source FROM half_bans
+    "manual_ban_rows": f"""SELECT client_ip, domain, "count", is_permanent, reason, source FROM in_force
         WHERE client_ip NOT IN (SELECT target FROM commands WHERE command = 'unban')
       UNION ALL SELECT target, 'manual', 0, true, 'manual', 'manual' FROM commands WHERE command = 'ban' AND NOT ({_ALLOWED_OR_BANNED})""",
     "reset_offenses": "SELECT * FROM offenses WHERE client_ip NOT IN (SELECT target FROM commands WHERE command = 'reset-offenses')",

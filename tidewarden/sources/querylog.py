@@ -52,14 +52,13 @@ def normalize_queries(items: DataFrame) -> DataFrame:
     offsets become the same event.
     """
     time = F.col("time")
-    # keep what a timestamp can hold; the rest of the fraction goes to at_ns
-    micro_text = F.regexp_replace(F.regexp_replace(time, ",", "."), r"(\.[0-9]{6})[0-9]+", "$1")
     own, forwarded = strip(F.col("client")), strip(F.col("client_info.ip"))
     domain = F.coalesce(F.nullif(F.col("question.name"), F.lit("")), F.col("question.host"))
     # tested on the raw columns, so that the tests do not repeat the work of the columns below
     named = ~domain.isin("", ".") & ((own != "") | (forwarded != ""))
     return items.filter(named).select(
-        F.when(time.rlike(_RFC3339), F.try_to_timestamp(micro_text)).alias("at"),
+        # a timestamp cuts the fraction after six digits; the next three go to at_ns
+        F.when(time.rlike(_RFC3339), F.try_to_timestamp(F.translate(time, ",", "."))).alias("at"),
         _fraction_tail(time).alias("at_ns"),
         F.coalesce(F.nullif(own, F.lit("")), forwarded).alias("client"),
         F.regexp_replace(F.lower(domain), r"\.$", "").alias("domain"),
