@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.functions.domains import base_domain, below_base_domain, parent_names, watchlisted
 from tidewarden.functions.text import strip
+from tidewarden.functions.times import instant
 from tidewarden.operators.slices import SECOND, running_count, slice_seconds, slice_start
 from tidewarden.params import Params
 from tidewarden.sources.querylog import epoch_nanos
@@ -44,7 +45,7 @@ def flood_verdict(hits: DataFrame, params: Params) -> DataFrame:
 
 def in_window(events: DataFrame, window: int, as_of: datetime) -> DataFrame:
     """Events from ``as_of - window`` to ``as_of``, both included."""
-    first, last = F.lit(as_of - timedelta(seconds=window)), F.lit(as_of)
+    first, last = instant(as_of - timedelta(seconds=window)), instant(as_of)
     return prune_days(events.filter(F.col("at").between(first, last)), first, last)
 
 
@@ -67,7 +68,7 @@ def rate_limit_snapshot(events: DataFrame, params: Params, as_of: datetime) -> D
         F.count("*").alias("n"), F.max(epoch_nanos(F.col("at"), F.col("at_ns"))).alias("last"))
     hits = per_protocol.groupBy("client", "domain").agg(
         F.sum("n").alias("n"), F.max_by("protocol", F.struct("last", "protocol")).alias("protocol"),
-    ).filter(F.col("n") > params.rate_limit_max_requests).withColumn("at", F.lit(as_of))
+    ).filter(F.col("n") > params.rate_limit_max_requests).withColumn("at", instant(as_of))
     return rate_verdict(hits, params)
 
 
@@ -147,7 +148,7 @@ def subdomain_flood_snapshot(events: DataFrame, params: Params, as_of: datetime)
     """(client, base domain) pairs with too many distinct names in the last window."""
     names = subdomain_queries(in_window(events, params.subdomain_flood_window, as_of))
     hits = names.groupBy("client", "base").agg(F.count_distinct("domain").alias("n")).filter(
-        F.col("n") > params.subdomain_flood_max_unique).withColumn("at", F.lit(as_of))
+        F.col("n") > params.subdomain_flood_max_unique).withColumn("at", instant(as_of))
     return flood_verdict(hits, params)
 
 

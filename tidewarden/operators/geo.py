@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.functions.addresses import is_private
+from tidewarden.functions.times import instant
 from tidewarden.operators.membership import not_already_banned, static_whitelist, whitelist_exclude
 from tidewarden.operators.networks import matching_networks
 from tidewarden.params import Params
@@ -41,7 +42,7 @@ def geo_public_clients(clients: DataFrame, params: Params) -> DataFrame:
 
 def _geo_detections(located: DataFrame, params: Params, as_of: datetime) -> DataFrame:
     return located.filter(should_block(F.col("country"), params)).select(
-        F.lit(as_of).alias("at"), "client", F.concat(F.lit("GeoIP:"), F.col("country")).alias("target"),
+        instant(as_of).alias("at"), "client", F.concat(F.lit("GeoIP:"), F.col("country")).alias("target"),
         F.lit(0).cast("long").alias("n"), F.lit("-").alias("protocol"), F.lit("geoip").alias("reason"),
         F.lit("geoip").alias("source"), F.lit(True).alias("permanent"), "country")
 

@@ -10,7 +10,7 @@ from tidewarden.functions.text import (
 )
 from tidewarden.params import Params
 
-SHIELD = "\U0001F6E1️"
+TITLE_MARK = "\U0001F6E1️"
 UNKNOWN_HOST = "(unbekannt)"
 
 
@@ -70,7 +70,7 @@ def payload(title: Column, message: Column, client: Column, action: Column, kind
 
 
 def _outgoing(rows: DataFrame, params: Params) -> DataFrame:
-    title = F.lit(f"{SHIELD} {params.product_name}")
+    title = F.lit(f"{TITLE_MARK} {params.product_name}")
     out = rows.withColumn("title", title).withColumn(
         "payload", payload(title, F.col("message"), F.col("client_ip"), F.col("action"), params.notify_type))
     return out.filter(F.lit(params.notify_enabled))

@@ -6,13 +6,14 @@ the session zone (UTC). Ranges are closed on both sides.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.functions.text import (
     blank_to, dash_if_blank, protocol_class, reason_class, short_time,
 )
+from tidewarden.functions.times import utc
 from tidewarden.operators.bans import history_recent
 from tidewarden.params import Params
 from tidewarden.sources.logs import log_time
@@ -29,7 +30,7 @@ REPORT_ROWS = 20
 
 
 def epoch(at: datetime) -> int:
-    return int(at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp())
+    return int(utc(at).timestamp())
 
 
 def midnight(at: datetime) -> datetime:

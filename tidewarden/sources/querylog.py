@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewarden.functions.text import strip
+from tidewarden.functions.times import instant
 from tidewarden.params import Params
 from tidewarden.schemas import QUERY_ITEM, QUERY_LOG
 
@@ -73,7 +74,7 @@ def dedupe_queries(events: DataFrame) -> DataFrame:
 
 def retain_recent(events: DataFrame, params: Params, as_of: datetime) -> DataFrame:
     """Events younger than the longest detection window plus its slack."""
-    return events.filter(F.col("at") > F.lit(as_of - timedelta(seconds=params.retention)))
+    return events.filter(F.col("at") > instant(as_of - timedelta(seconds=params.retention)))
 
 
 def distinct_clients(events: DataFrame) -> DataFrame:
