@@ -6,6 +6,7 @@ from tidewarden.operators import geo
 from tidewarden.operators.networks import matching_networks
 from tidewarden.params import Params
 from tidewarden.schemas import ACTIVE_BANS, GEO_CACHE, GEO_RANGES, WHITELIST
+from tidewarden.sources import querylog
 
 NOW = 1_700_000_000
 
@@ -43,6 +44,14 @@ def test_matching_uses_equality_only(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_addresses_are_parsed_once_per_client(spark):
+    """No address test below the aggregation that makes clients distinct."""
+    p = Params(geoip_enabled=True, geoip_countries=("CN",))
+    log = events(spark, [(0, "8.8.8.8", "x.com")])
+    plan = geo.geo_public_clients(querylog.distinct_clients(log), p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan.split("Aggregate")[0] and "lambda" not in plan.split("Aggregate")[1]
+
+
 def test_policy(spark):
     block, allow = Params(geoip_countries=(" cn ", "RU")), Params(geoip_countries=("CN", "RU"), geoip_mode="allowlist")
     df = spark.createDataFrame([("cn",), ("DE",), ("",), (None,)], "c string")

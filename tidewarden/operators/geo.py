@@ -11,6 +11,7 @@ from tidewarden.functions.times import instant
 from tidewarden.operators.membership import not_already_banned, static_whitelist, whitelist_exclude
 from tidewarden.operators.networks import matching_networks
 from tidewarden.params import Params
+from tidewarden.sources.querylog import distinct_clients
 from tidewarden.sources.tables import upsert
 
 
@@ -30,7 +31,7 @@ def geo_lookup(clients: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     iso = F.coalesce(F.nullif(F.col("country_iso"), F.lit("")), F.col("registered_iso"), F.lit(""))
     named = ranges.groupBy("network").agg(F.max(F.upper(iso)).alias("country"))
-    distinct = clients.select("client").distinct()
+    distinct = distinct_clients(clients)
     best = matching_networks(distinct, named).groupBy("client").agg(
         F.max_by("country", "prefix_len").alias("country"))
     return distinct.join(best, "client", "left").fillna("", subset=["country"])
@@ -53,7 +54,7 @@ def geo_detect(events: DataFrame, ranges: DataFrame, whitelist: DataFrame, bans:
 
     Each client is judged once; its addresses are made distinct before anything is joined.
     """
-    clients = geo_public_clients(events.select("client").distinct(), params)
+    clients = geo_public_clients(distinct_clients(events), params)
     open_ = not_already_banned(whitelist_exclude(static_whitelist(clients, params), whitelist), bans)
     return _geo_detections(geo_lookup(open_, ranges), params, as_of)
 
@@ -69,7 +70,7 @@ def geo_cached_lookup(clients: DataFrame, cache: DataFrame, ranges: DataFrame, p
     """``client, country, cached``: a valid cache row wins, the ranges answer the rest."""
     valid = geo_cache_valid(cache, params, now, db_mtime).select(
         F.col("ip").alias("client"), F.col("country_code").alias("country"))
-    distinct = clients.select("client").distinct()
+    distinct = distinct_clients(clients)
     known = distinct.join(valid, "client").withColumn("cached", F.lit(True))
     missing = distinct.join(valid, "client", "left_anti")
     return known.unionByName(geo_lookup(missing, ranges).withColumn("cached", F.lit(False)))

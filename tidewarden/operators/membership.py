@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewarden.operators.networks import matching_networks
 from tidewarden.params import Params
+from tidewarden.sources.querylog import distinct_clients
 
 
 def static_whitelist(df: DataFrame, params: Params, column: str = "client") -> DataFrame:
@@ -23,7 +24,7 @@ def whitelist_exclude(df: DataFrame, whitelist: DataFrame, column: str = "client
     kept = df.join(listed, column, "left_anti")
     if match == "exact":
         return kept
-    covered = matching_networks(kept.select(F.col(column).alias("client")).distinct(),
+    covered = matching_networks(distinct_clients(kept.select(F.col(column).alias("client"))),
                                 whitelist.select(F.col("ip_address").alias("network")))
     return kept.join(covered.select(F.col("client").alias(column)).distinct(), column, "left_anti")
 

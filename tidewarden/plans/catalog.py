@@ -247,7 +247,7 @@ def geo_lookup(t: Tables) -> DataFrame:
 
 @query
 def geo_public_clients(t: Tables) -> DataFrame:
-    return geo.geo_public_clients(t.queries().select("client").distinct(), GEO)
+    return geo.geo_public_clients(querylog.distinct_clients(t.queries()), GEO)
 
 
 @query
