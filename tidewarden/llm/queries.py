@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import decontaminate, fingerprint, mixing, secrets, urlfilter
-from tidewarden.llm.common import table
+from tidewarden.llm import decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, toxicity, urlfilter
+from tidewarden.llm.common import fold, table
 
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -27,6 +27,20 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda d: fold(d, 5) != 0)
+    return _judged(toxicity.scores(docs, model), 5, 0, 0.5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,12 +53,37 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.label(base), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predictions(docs, langid.train(docs, lambda d: fold(d, 4) != 2))
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda d: fold(d, 4) != 2)
+    return _judged(quality.scores(docs, model), 4, 2, 0.7)
+
+
+def _held_out(folds: int, held: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out")
+
+
+def _judged(scores: DataFrame, folds: int, held: int, limit: float) -> DataFrame:
+    return scores.select("doc_id", _held_out(folds, held), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
     "op3_fingerprints": op3_fingerprints,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
