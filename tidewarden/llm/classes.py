@@ -1,15 +1,18 @@
 """Classes of linked rows: buckets to verified links, links to connected components.
 
-Buckets are never expanded into all pairs unless they are small. In a large bucket every member is
-compared with one hub; only pairs that then still lie in different classes are compared one by one,
-so that no link that could join two classes is lost.
+Buckets are never expanded into all pairs unless they are small. Members of large buckets are first dealt
+anew by more selective keys, so that what many rows have in common by accident drops out. In a bucket that is
+still large every member is
+compared with one hub, the member that meets most others in its buckets; only pairs that then still lie
+in different classes are compared one by one, each pair once, so that no link that could join two classes
+is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.common import staged
 
@@ -41,27 +44,47 @@ def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return joined.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL) -> DataFrame:
+def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL,
+                   refine: Callable[[DataFrame], DataFrame] | None = None, sketch: DataFrame | None = None,
+                   likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, label) from (key, id) rows; ``verify`` keeps those of (a, b) pairs that are links.
 
-    Ids without a link are left out.
+    ``refine`` gives more selective (key, id) rows for the ids of large buckets. ``likely``
+    judges two values of ``sketch`` (id, sketch) before a pair across classes is made. Ids without a link are left out.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    rows = staged(rows.join(sizes, "key").select("key", "id", "n", "hub"))
+    if refine:
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = staged(rows.join(counts, "key").select("key", "id", "n"))
+        anew = refine(shared.where(F.col("n") > small).select("id").distinct())
+        rows = shared.where(F.col("n") <= small).select("key", "id").unionByName(anew)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = staged(rows.join(sizes, "key").select("key", "id", "n"))
     few = rows.where(F.col("n") <= small).select("key", "id")
     many = rows.where(F.col("n") > small)
-    hubs = many.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    meets = many.groupBy("id").agg(F.sum("n").alias("meets"), F.sort_array(F.collect_set("key")).alias("keys"))
+    if sketch is None:
+        meets = meets.withColumn("sketch", F.lit(0))
+    else:
+        meets = meets.join(sketch.dropDuplicates(["id"]), "id")
+    many = staged(many.join(meets, "id").select("key", "id", "meets", "keys", "sketch"))
+    central = many.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
+    hubs = (many.join(central, "key").where("id <> hub")
+            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     tried = staged(_pairs(few, few, "key").unionByName(hubs).distinct())
     links = staged(verify(tried))
     labels = components(links)
     if many.isEmpty():
         return labels
     # large buckets that still hold several classes
-    marked = many.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select(
-        "key", "id", F.coalesce("label", "id").alias("label"))
+    marked = many.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "keys", "sketch", F.coalesce("label", "id").alias("label"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     marked = staged(marked.join(mixed, "key", "left_semi"))
-    across = (marked.join(marked.select("key", F.col("id").alias("other"), F.col("label").alias("label2")), "key")
-              .where("id < other and label <> label2").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
+    other = marked.select("key", F.col("id").alias("other"), F.col("label").alias("label2"), F.col("keys").alias("keys2"), F.col("sketch").alias("sketch2"))
+    # a pair that meets in several buckets is made in the first of them
+    first = F.col("key") == F.array_min(F.array_intersect("keys", "keys2"))
+    if likely:
+        first = likely(F.col("sketch"), F.col("sketch2")) & first
+    across = (marked.join(other, "key").where("id < other and label <> label2").where(first)
+              .select(F.col("id").alias("a"), F.col("other").alias("b")))
     more = staged(verify(staged(across.join(tried, ["a", "b"], "left_anti"))))
     return labels if more.isEmpty() else components(links.unionByName(more))

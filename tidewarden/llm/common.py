@@ -82,4 +82,5 @@ def ranked(df: DataFrame, key: str, rank: str = "rank") -> DataFrame:
 
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under names of our own, so that extra columns cannot clash."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+    # no alias where the name stays: plans that start from the same columns can share an exchange
+    return df.select(*[F.col(f"`{old}`") if old == new else F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewarden.llm.classes import SMALL, bucket_classes
+from tidewarden.llm.classes import bucket_classes
 from tidewarden.llm.common import let, own_columns, staged
 
 FINE = 16
@@ -130,7 +130,7 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_i
                                         *[F.min(f"k{i}").alias(f"k{i}") for i in range(width)]))
     every = distinct.select("h", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(width)]))).alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = staged(every.join(shared, "key").select("key", F.col("h").alias("id"), "n"))
+    rows = staged(every.join(shared, "key").select("key", F.col("h").alias("id")))
     # the texts of lines that share a key with another one, each from the place where it comes first
     wanted = rows.select(F.col("id").alias("h")).distinct().join(distinct.select("h", "at"), "h")
     by_doc = staged(wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.line_no", "h")).alias("wanted")))
@@ -140,12 +140,8 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_i
     found = by_doc.join(body, F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
     texts = staged(found.where(F.xxhash64("line", F.length("line")) == F.col("h")).dropDuplicates(["h"]))
 
-    if max_edits == 1:
-        crowded = rows.where(F.col("n") > SMALL).select(F.col("id").alias("h")).distinct()
-        fine = crowded.join(texts, "h").select(F.explode(fine_keys(F.col("line"), F.length("line"))).alias("key"), F.col("h").alias("id"))
-        rows = rows.where(F.col("n") <= SMALL).select("key", "id").unionByName(fine)
-    else:
-        rows = rows.select("key", "id")
+    def refine(ids: DataFrame) -> DataFrame:
+        return ids.join(texts, F.col("id") == F.col("h")).select(F.explode(fine_keys(F.col("line"), F.length("line"))).alias("key"), "id")
 
     def check(batches):
         for b in batches:
@@ -159,7 +155,7 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_i
         near = F.abs(F.length("line_a") - F.length("line_b")) <= max_edits
         return both.where(near).select("a", "b", "line_a", "line_b").mapInPandas(check, "a long, b long")
 
-    labels = bucket_classes(rows, verify)
+    labels = bucket_classes(rows, verify, refine=refine if max_edits == 1 else None)
     known = distinct.select("h", "at", "copies").join(labels, F.col("h") == F.col("node"), "left")
     known = known.select("h", "at", "copies", "label")
     alone = known.where("label is null").select("h", "copies", F.col("at").alias("first"))
