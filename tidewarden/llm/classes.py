@@ -76,7 +76,7 @@ def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sm
     if many.isEmpty():
         return labels
     # large buckets that still hold several classes
-    marked = many.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "keys", "sketch", F.coalesce("label", "id").alias("label"))
+    marked = staged(many.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "keys", "sketch", F.coalesce("label", "id").alias("label")))
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     marked = staged(marked.join(mixed, "key", "left_semi"))
     other = marked.select("key", F.col("id").alias("other"), F.col("label").alias("label2"), F.col("keys").alias("keys2"), F.col("sketch").alias("sketch2"))
