@@ -115,3 +115,11 @@ def test_log_text(spark, tmp_path):
 def test_geo_ranges_from_csv(spark, tmp_path):
     (tmp_path / "g.csv").write_text("network,country_iso,registered_iso\n203.0.0.0/8,DE,DE\n")
     assert rows(load_geo_ranges(spark, str(tmp_path))) == [("203.0.0.0/8", "DE", "DE")]
+
+
+def test_names_resolve_without_case_and_any_2xx_is_good(spark):
+    entries = spark.createDataFrame([("l", "Bad.Example.")], "source_name string, entry string")
+    answers = spark.createDataFrame([("bad.example", "9.9.9.9")], "host string, address string")
+    assert rows(lists.resolve_list(entries, answers), "entry", "address") == [("Bad.Example.", "9.9.9.9")]
+    copies = spark.createDataFrame([("a", 1, 200, "old"), ("a", 2, 203, "new"), ("a", 3, 304, "")], "source_name string, fetched_at int, status int, line string")
+    assert rows(lists.list_latest_good(copies), "line") == [("new",)]

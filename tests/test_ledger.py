@@ -131,6 +131,17 @@ def test_whitelist_sync(spark):
     assert rows(step.active_bans, "client_ip") == [("a",)]
 
 
+def test_emptied_good_list_lifts(spark):
+    table = spark.createDataFrame([("gone", "external-blocklist")], "client_ip string, source string")
+    table = table.withColumns({c: F.lit(v) for c, v in {
+        "domain": "-", "count": 0, "ban_time": "", "ban_until_epoch": 0, "ban_duration": 0, "offense_level": 0, "is_permanent": True,
+        "reason": "external-blocklist", "protocol": "-", "geoip_country": "", "geoip_mode": ""}.items()})
+    empty, good = addresses(spark, "x").filter("false"), spark.createDataFrame([("list",)], "source_name string")
+    kept = ledger.blocklist_sync(table, whitelist(spark, "z"), empty, P, NOW, good.filter("false"))
+    lifted = ledger.blocklist_sync(table, whitelist(spark, "z"), empty, P, NOW, good)
+    assert kept.active_bans.count() == 1 and lifted.active_bans.count() == 0
+
+
 def test_blocklist_sync(spark):
     table = bans(spark, ban("listed", source="external-blocklist"), ban("dropped", source="external-blocklist"), ban("mine"))
     step = ledger.blocklist_sync(table, whitelist(spark, "allowed"), addresses(spark, "listed", "new", "allowed", "mine"), P, NOW)

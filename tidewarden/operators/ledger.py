@@ -186,30 +186,33 @@ def blocklist_bans(addresses: DataFrame, params: Params, now: int) -> DataFrame:
         F.lit(BLOCKLIST).alias("source"), F.lit("").alias("geoip_country"), F.lit("").alias("geoip_mode"))
 
 
-def blocklist_sync(bans: DataFrame, whitelist: DataFrame, desired: DataFrame, params: Params, now: int) -> Step:
+def blocklist_sync(bans: DataFrame, whitelist: DataFrame, desired: DataFrame, params: Params, now: int,
+                   good: DataFrame | None = None) -> Step:
     """Ban what the lists name, lift what they no longer name.
 
-    When no source has a usable copy ``desired`` is empty; bans then stay, where lifting
-    all of them would open the door on a mere download failure.
+    ``good`` has a row for every source with a usable copy. Without any, bans stay, where lifting
+    all of them would open the door on a mere download failure; a good copy that became empty lifts.
+    When ``good`` is not given, an empty ``desired`` counts as no usable copy.
     """
+    good = desired if good is None else good
     if params.dry_run:
         listed = whitelist_exclude(static_whitelist(desired, params, "address"), whitelist, "address")
         dry = _history(listed.withColumnRenamed("address", "client_ip"), F.lit(now), F.lit("DRY"),
                        duration=F.lit("dry-run"), reason=F.lit(f"dry-run ({BLOCKLIST})"))
-        return _lift_removed(Step(bans, dry), bans, desired, params, now)
+        return _lift_removed(Step(bans, dry), bans, desired, good, params, now)
     fresh = blocklist_new(static_whitelist(desired, params, "address"), whitelist, bans)
     opened = blocklist_bans(fresh, params, now)
     written = _history(opened, F.lit(now), F.lit("BAN"), reason=F.col("reason"),
                        duration=duration_text(F.col("ban_duration"), F.col("is_permanent")))
     step = Step(bans.unionByName(opened, allowMissingColumns=True), written, opened=opened)
-    return _lift_removed(step, bans, desired, params, now)
+    return _lift_removed(step, bans, desired, good, params, now)
 
 
-def _lift_removed(step: Step, bans: DataFrame, desired: DataFrame, params: Params, now: int) -> Step:
+def _lift_removed(step: Step, bans: DataFrame, desired: DataFrame, good: DataFrame, params: Params, now: int) -> Step:
     if not params.blocklist_auto_unban:
         return step
-    any_listed = desired.limit(1).agg(F.count("*") > 0).scalar()
-    gone = blocklist_removed(bans, desired).filter(any_listed)
+    any_good = good.limit(1).agg(F.count("*") > 0).scalar()
+    gone = blocklist_removed(bans, desired).filter(any_good)
     lifted = lift(step.active_bans, gone, "external-blocklist-removed", now)
     lifted.history = step.history.unionByName(lifted.history)
     lifted.opened = step.opened

@@ -19,12 +19,12 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_latest_good(snapshots: DataFrame, order: str = "fetched_at") -> DataFrame:
-    """Lines of the newest copy with status 200 of every source.
+    """Lines of the newest copy with a 2xx status of every source.
 
     A failed or unchanged fetch falls back to the copy before it; a source that never had
     a good copy gives no rows.
     """
-    good = snapshots.filter("status = 200")
+    good = snapshots.filter("status BETWEEN 200 AND 299")
     newest = good.groupBy("source_name").agg(F.max(order).alias(order))
     return good.join(newest, ["source_name", order], "left_semi")
 
@@ -43,18 +43,24 @@ def parse_list(lines: DataFrame) -> DataFrame:
         ~F.contains("entry", F.lit("://")) & (is_hostname(F.col("entry")) | parse_address("entry").isNotNull()))
 
 
+def _host_key(name: str) -> Column:
+    return F.regexp_replace(F.lower(name), r"\.$", "")
+
+
 def resolve_list(entries: DataFrame, answers: DataFrame) -> DataFrame:
     """``(source_name, entry, address)``: addresses as they are, host names by their answers.
 
+    Names are compared without regard to case and to a dot at the end.
     Names without an answer and unspecified answers drop out. A literal ``0.0.0.0`` entry
     is kept.
     """
     tagged = entries.select("source_name", "entry").distinct().withColumn(
         "literal", parse_address("entry").isNotNull())
     literal = tagged.filter("literal").select("source_name", "entry", F.col("entry").alias("address"))
-    resolvable = answers.select(F.col("host").alias("entry"), "address").distinct().filter(
+    resolvable = answers.select(_host_key("host").alias("host_key"), "address").distinct().filter(
         (parse_address("address")["kind"] == "address") & ~is_unspecified("address"))
-    named = tagged.filter("NOT literal").join(resolvable, "entry").select("source_name", "entry", "address")
+    named = (tagged.filter("NOT literal").withColumn("host_key", _host_key("entry"))
+             .join(resolvable, "host_key").select("source_name", "entry", "address"))
     return literal.unionByName(named)
 
 

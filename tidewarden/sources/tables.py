@@ -25,13 +25,19 @@ def prune_days(df: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, since: int | None = None, until: int | None = None) -> DataFrame:
-    """History rows, filtered on the partition day as well as on the exact second."""
+    """History rows, filtered on the partition day as well as on the exact second.
+
+    An end that is not given is no condition.
+    """
     rows = spark.read.parquet(path)
-    if since is None and until is None:
-        return rows
-    first, last = since or 0, until if until is not None else 2**40
-    within = rows.filter(F.col("timestamp_epoch").between(first, last))
-    return prune_days(within, F.timestamp_seconds(F.lit(first)), F.timestamp_seconds(F.lit(last)))
+    for bound, end in ((since, "since"), (until, "until")):
+        if bound is None:
+            continue
+        second, day = F.col("timestamp_epoch"), F.to_date(F.timestamp_seconds(F.lit(bound)))
+        rows = rows.filter(second >= bound if end == "since" else second <= bound)
+        if "day" in rows.columns:
+            rows = rows.filter(F.col("day") >= day if end == "since" else F.col("day") <= day)
+    return rows
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
