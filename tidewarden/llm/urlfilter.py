@@ -88,15 +88,18 @@ class Cascade:
         others = staged(universe.select("key").where("key is not null").distinct().join(keys, "key", "left_anti"))
         n_keys = keys.count()
         self.listed = keys
-        self.by_join = n_keys * bits_per_key > MAX_BITS
+        # the first level lets through about as many other keys as are listed, however large the corpus
+        hashes = max(3, math.ceil(math.log2(max(1, others.count()) / max(1, n_keys)))) if n_keys else 3
+        bits = max(bits_per_key, 1.5 * hashes)
+        self.by_join = n_keys * bits > MAX_BITS
         while n_keys and not self.by_join:
-            level = Level(keys, n_keys, len(self.levels), bits_per_key)
+            level = Level(keys, n_keys, len(self.levels), bits, hashes)
             self.levels.append(level)
             wrong = staged(others.select("key", level.bits.scalar().alias("__bits"))
                            .where(level.passes(F.col("key"), F.col("__bits"))).select("key"))
             keys, others, n_keys = wrong, keys, wrong.count()
-            # a later level encodes a subset of what an earlier one let through; it may be the larger side
-            self.by_join = n_keys * bits_per_key > MAX_BITS
+            bits, hashes = bits_per_key, 3
+            self.by_join = n_keys * bits > MAX_BITS
 
     def with_bits(self, df: DataFrame) -> DataFrame:
         return df.select("*", *[level.bits.scalar().alias(f"__bits{level.number}") for level in self.levels])
@@ -121,7 +124,13 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow",
     listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, verdict string")
     universe = parsed.select(F.explode("keys.key").alias("key"))
     cascade = Cascade(listed, universe)
-    hits = cascade.with_bits(parsed).withColumn("keys", F.filter("keys", lambda k: cascade.contains(k["key"])))
+    if cascade.by_join:
+        rows = staged(parsed.withColumn("__row", F.monotonically_increasing_id()))
+        known = (rows.select("__row", F.explode("keys").alias("k")).join(cascade.listed, F.col("k.key") == F.col("key"), "left_semi")
+                 .groupBy("__row").agg(F.collect_set("k").alias("keys")))
+        hits = rows.drop("keys").join(known, "__row", "left")
+    else:
+        hits = cascade.with_bits(parsed).withColumn("keys", F.filter("keys", lambda k: cascade.contains(k["key"])))
     best = F.array_max(F.transform("keys", lambda k: F.struct(
         F.length(k["key"]).alias("length"), k["host_length"].alias("host_length"), k["key"].alias("key"))))
     judged = hits.select("page_id", "host", "path", best["key"].alias("rule"))
