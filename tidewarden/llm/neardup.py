@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.llm.classes import bucket_classes
+from tidewarden.llm.classes import TURNS, bucket_classes
 from tidewarden.llm.common import grams, let, own_columns, shingles, staged, words
 
 BANDS, ROWS = 24, 4
@@ -199,7 +199,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
         return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= int(LIKELY * bands * rows)
 
     sketch = every.where("darts is not null").select(F.col("node").alias("id"), F.col("darts").alias("sketch"))
-    labels = bucket_classes(keys, verify, refine=refine, sketch=sketch, likely=likely)
+    labels = bucket_classes(keys, verify, refine=refine, sketch=sketch, likely=likely, turns=TURNS)
     grouped = named.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min_by(F.struct("node", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r"))
     table = staged(grouped.join(least, "label").select("node", F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("kept_node")))
