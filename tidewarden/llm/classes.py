@@ -1,11 +1,9 @@
 """Classes of linked rows: buckets to verified links, links to connected components.
 
-Buckets are never expanded into all pairs unless they are small. Members of large buckets are first dealt
-anew by more selective keys, so that what many rows have in common by accident drops out. In a bucket that is
-still large every member is
-compared with one hub, the member that meets most others in its buckets, then in turns with further hubs
-drawn by hash; only pairs that then still lie in different classes are compared one by one, each pair
-once, so that no link that could join two classes is lost.
+Buckets are never expanded into all pairs unless they are small. In a large bucket every member is compared
+with one hub, the member that meets most others in its buckets. The members of large buckets that then still
+hold several classes may be dealt anew by more selective keys; only pairs that lie in different classes and
+share such a key are compared one by one, each pair once, so that no link that could join two classes is lost.
 """
 
 from __future__ import annotations
@@ -18,8 +16,6 @@ from tidewarden.llm.common import staged
 
 #: buckets up to this size are expanded: at most half as many pairs per member
 SMALL = 8
-#: hubs drawn per bucket and turn, and turns of near-dedup before the members left in different classes are compared one by one
-HUBS, TURNS = 8, 6
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,13 +43,15 @@ def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL,
-                   refine: Callable[[DataFrame], DataFrame] | None = None, sketch: DataFrame | None = None,
-                   likely: Callable[[Column, Column], Column] | None = None, turns: int = 0) -> DataFrame:
+                   refine: Callable[[DataFrame], DataFrame] | None = None,
+                   later: Callable[[DataFrame], DataFrame] | None = None,
+                   likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, label) from (key, id) rows; ``verify`` keeps those of (a, b) pairs that are links.
 
-    ``refine`` gives more selective (key, id) rows for the ids of large buckets. ``likely``
-    judges two values of ``sketch`` (id, sketch) before a pair across classes is made. ``turns`` is how often
-    further hubs are drawn at most. Ids without a link are left out.
+    ``refine`` gives more selective (key, id) rows for the ids of large buckets, before hubs are tried.
+    ``later`` gives (key, id, place) rows for the ids of large buckets that hold several classes after the hubs;
+    every link between such ids must share a key for which ``likely`` is true of their places. Ids without a
+    link are left out.
     """
     if refine:
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -64,12 +62,8 @@ def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sm
     rows = staged(rows.join(sizes, "key").select("key", "id", "n"))
     few = rows.where(F.col("n") <= small).select("key", "id")
     many = rows.where(F.col("n") > small)
-    meets = many.groupBy("id").agg(F.sum("n").alias("meets"), F.sort_array(F.collect_set("key")).alias("keys"))
-    if sketch is None:
-        meets = meets.withColumn("sketch", F.lit(0))
-    else:
-        meets = meets.join(sketch.dropDuplicates(["id"]), "id")
-    many = staged(many.join(meets, "id").select("key", "id", "meets", "keys", "sketch"))
+    meets = many.groupBy("id").agg(F.sum("n").alias("meets"), F.sort_array(F.collect_set("key")).alias("place"))
+    many = staged(many.join(meets, "id").select("key", "id", "meets", "place"))
     central = many.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
     hubs = (many.join(central, "key").where("id <> hub")
             .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
@@ -79,40 +73,18 @@ def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sm
     if many.isEmpty():
         return labels
     # large buckets that still hold several classes
-    marked = many.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "keys", "sketch", F.coalesce("label", "id").alias("label"))
+    marked = many.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "place", F.coalesce("label", "id").alias("label"))
     marked = _mixed(staged(marked))
-
-    def across(hubs: DataFrame | None = None) -> DataFrame:
-        """Likely pairs across classes that were not tried before: with the hubs of a bucket, or of all its members."""
-        partners = marked if hubs is None else marked.join(hubs, ["key", "id"], "left_semi")
-        other = partners.select("key", F.col("id").alias("other"), F.col("label").alias("label2"), F.col("keys").alias("keys2"), F.col("sketch").alias("sketch2"))
-        if hubs is None:  # a pair that meets in several buckets is made in the first of them
-            fits = (F.col("id") < F.col("other")) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys2")))
-        else:
-            fits = F.lit(True)
-        if likely:
-            fits = likely(F.col("sketch"), F.col("sketch2")) & fits
-        pairs = (marked.join(other, "key").where("label <> label2").where(fits)
-                 .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
-        return staged((pairs if hubs is None else pairs.distinct()).join(tried, ["a", "b"], "left_anti"))
-
-    for turn in range(turns):
-        if marked.isEmpty():
-            return components(links)
-        lots = [F.min(F.struct(F.xxhash64("id", F.lit(turn * HUBS + i)).alias("lot"), "id")) for i in range(HUBS)]
-        hubs = marked.groupBy("key").agg(F.array(*lots).alias("hubs")).select("key", F.explode("hubs.id").alias("id")).distinct()
-        new = across(hubs)
-        found = staged(verify(new))
-        if found.isEmpty():
-            break
-        tried, links = tried.unionByName(new), links.unionByName(found)
-        named = marked.select("id", "label").distinct()
-        joined = components(found.join(named.select(F.col("id").alias("a"), F.col("label").alias("x")), "a")
-                            .join(named.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
-                            .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
-        marked = _mixed(staged(marked.join(joined, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")))
-    more = staged(verify(across()))
+    if later:
+        named = staged(marked.select("id", "label").distinct())
+        marked = _mixed(staged(later(named.select("id")).join(named, "id").select("key", "id", "place", "label")))
+    other = marked.select("key", F.col("id").alias("other"), F.col("label").alias("label2"), F.col("place").alias("place2"))
+    if likely:
+        fits = likely(F.col("place"), F.col("place2"))
+    else:  # a pair that meets in several buckets is made in the first of them
+        fits = F.col("key") == F.array_min(F.array_intersect("place", "place2"))
+    pairs = marked.join(other, "key").where("id < other and label <> label2").where(fits).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    more = staged(verify(staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"))))
     return components(links.unionByName(more))
 
 

@@ -9,9 +9,9 @@ their weighted Jaccard similarity. Bands of coordinates are joined, and candidat
 
 Texts with the same words are one node before anything else is done. Classes are connected components of
 links of at least ``threshold``. With 24 bands of 4 rows a pair at 0.8 is missed once in 300,000 times.
-Documents that only share a bucket with many others, as those with a common passage do, are dealt anew by
-150 groups of 12 coordinates, where a pair at 0.8 is missed once in 40,000 times; if two of them still lie in
-different classes, a pair is verified when 62 of the 96 coordinates agree (at 0.8 all but 1 in 10,000 do).
+In a large bucket all are compared with one hub. Documents of large buckets that then still hold several
+classes are dealt anew, exactly: runs of words are ordered by how many of these documents hold them, and a pair
+that is similar enough must share one of the rarest few of both, as many as the two sizes leave room for.
 
 Null texts and texts without words are alone in their class. Texts of one to four words have no runs and
 are alike only when equal. Repeated rows fall into one class. ``class_id`` is the smallest doc_id of the
@@ -26,13 +26,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewarden.llm.classes import TURNS, bucket_classes
+from tidewarden.llm.classes import bucket_classes
 from tidewarden.llm.common import grams, let, own_columns, shingles, staged, words
 
 BANDS, ROWS = 24, 4
-FINE_GROUPS, FINE_ROWS = 150, 12
-#: share of equal coordinates from which a pair is verified
-LIKELY = 62 / 96
+#: ratio of neighbouring size classes among which rare runs are looked up
+SIZE_STEP = 1.06
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,24 +98,49 @@ def weighted(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc, np.concatenate([p[0] for p in parts]).view(np.uint64), np.concatenate([p[1] for p in parts]).astype(float)
 
 
-def group_keys(darts: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """(documents, groups) keys: the darts on the coordinates of each group, mixed."""
-    key = np.broadcast_to(mixed(np.arange(len(groups), dtype=np.uint64) + np.uint64(77)), (len(darts), len(groups))).copy()
-    with np.errstate(over="ignore"):
-        for i in range(groups.shape[1]):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + darts[:, groups[:, i]])
-    return key.view(np.int64)
+def size_edges(most: int, step: float = SIZE_STEP) -> np.ndarray:
+    """First size of every size class, until past ``most``."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * step)))
+    return np.array(edges)
+
+
+def rare_keys(size: int, shared: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) of a set of ``size`` elements; ``shared`` are those that others hold too, rarest first.
 
+    Two sets of n and m elements at ``threshold`` share ``threshold / (1 + threshold) * (n + m)``, so that in a
+    common order they meet within all but that many (less one) of their first elements. Keys name both size classes.
+    """
+    low, high = max(1, int(np.ceil(threshold * size - 1e-6))), int(np.floor(size / threshold + 1e-6))
+    edges = size_edges(high)
+    own, first, last = (int(np.searchsorted(edges, x, "right")) - 1 for x in (size, low, high))
+    alone, keys, places = size - len(shared), [], []
+    for c in range(first, last + 1):
+        needed = int(np.ceil(threshold / (1 + threshold) * (size + max(low, edges[c])) - 1e-6))
+        n = min(size - needed + 1 - alone, len(shared))
+        if n > 0:
+            pair = np.uint64(min(own, c) * 100_003 + max(own, c))
+            with np.errstate(over="ignore"):
+                keys.append(mixed(shared[:n].view(np.uint64) + mixed(pair + np.zeros(1, dtype=np.uint64))).view(np.int64))
+            places.append(np.arange(alone, alone + n))
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(keys), np.concatenate(places)) if keys else (empty, empty)
 
-def _fine(bands: int, rows: int):
-    # fixed groups of coordinates that overlap
-    groups = np.array([np.random.default_rng(1000 + g).permutation(bands * rows)[:FINE_ROWS] for g in range(FINE_GROUPS)])
 
+def _rare(threshold: float):
     def run(batches):
         for b in batches:
-            darts = np.array(b.column("darts").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(b), -1)
-            keys = group_keys(darts, groups)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("id").to_numpy(zero_copy_only=False), len(groups)))], ["key", "id"])
+            parts, held = [], 0
+            for node, size, shared in zip(b["node"], b["size"], b["shared"]):
+                keys, places = rare_keys(size, np.asarray(shared, dtype=np.int64), threshold)
+                parts.append(pd.DataFrame({"key": keys, "id": node, "at": places, "size": size}))
+                held += len(keys)
+                if held > 200_000:
+                    yield pd.concat(parts)
+                    parts, held = [], 0
+            if parts:
+                yield pd.concat(parts)
     return run
 
 
@@ -176,30 +200,35 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     band = [F.xxhash64(F.lit(b), *[F.get("darts", F.lit(b * rows + i)) for i in range(rows)]) for b in range(bands)]
     keys = every.where("darts is not null").select(F.explode(F.array(*band)).alias("key"), F.col("node").alias("id")).distinct()
 
-    def refine(ids: DataFrame) -> DataFrame:
-        held = every.join(ids, F.col("node") == F.col("id"), "left_semi").dropDuplicates(["node"])
-        return held.select(F.col("node").alias("id"), F.col("darts").cast("array<long>").alias("darts")).mapInArrow(_fine(bands, rows), "key long, id long")
-
     named = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        # one row stands for each node, so that copies are not carried along
+    def bags_of(wanted: DataFrame) -> DataFrame:
+        """(node, bag); one row stands for each node, so that copies are not carried along."""
         chosen = staged(wanted.join(named, "node").select("node", F.col("doc_id").alias("__id")))
         found = (chosen.join(body, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.col("node") == node_of(F.col("text")))
                  .select("node", shingles(F.col("text"), n).alias("h")))
-        tagged = staged(found.mapInPandas(_tagged, "node long, bag array<long>").dropDuplicates(["node"]))
+        return staged(found.mapInPandas(_tagged, "node long, bag array<long>").dropDuplicates(["node"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        tagged = bags_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         left = tagged.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
         right = tagged.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
         shared = F.size(F.array_intersect("bag_a", "bag_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
         return both.where(F.col("s") >= threshold * (F.col("n") - F.col("s")) - 1e-9).select("a", "b")
 
+    def rarest(ids: DataFrame) -> DataFrame:
+        held = bags_of(ids.select(F.col("id").alias("node"))).select("node", F.size("bag").alias("size"), F.explode("bag").alias("x"))
+        seen = held.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("n", "x"))), lambda s: s["x"])
+        by_node = held.join(seen, "x").groupBy("node", "size").agg(in_order.alias("shared"))
+        return by_node.mapInPandas(_rare(threshold), "key long, id long, at long, size long").select("key", "id", F.struct("at", "size").alias("place"))
+
     def likely(a: Column, b: Column) -> Column:
-        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= int(LIKELY * bands * rows)
+        # if this is the first run that both hold, no more than what follows it can be shared
+        return F.least(a["size"] - a["at"], b["size"] - b["at"]) >= threshold / (1 + threshold) * (a["size"] + b["size"]) - 1e-6
 
-    sketch = every.where("darts is not null").select(F.col("node").alias("id"), F.col("darts").alias("sketch"))
-    labels = bucket_classes(keys, verify, refine=refine, sketch=sketch, likely=likely, turns=TURNS)
+    labels = bucket_classes(keys, verify, later=rarest, likely=likely)
     grouped = named.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min_by(F.struct("node", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r"))
     table = staged(grouped.join(least, "label").select("node", F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("kept_node")))
