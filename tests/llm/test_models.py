@@ -174,6 +174,12 @@ def test_classifiers(marked, module, label, limit):
     assert module.scores(docs.limit(0), model).count() == 0
 
 
+def test_short_and_many_toxic_words_are_learned(spark):
+    words = ["cad", "oaf"] + [f"insult{i}" for i in range(450)]
+    rows = [(i, " ".join(["plain", "text", *(words if i % 2 else [])]), i % 2) for i in range(60)]
+    assert set(toxicity.distinctive_words(spark.createDataFrame(rows, "doc_id long, text string, y int"))) == set(words)
+
+
 def test_languages(spark):
     rnd = random.Random(2)
     stems = {"en": ["the", "of", "thing", "world", "where"], "de": ["der", "und", "schön", "wäre", "nicht"], "fr": ["le", "été", "où", "jour", "quoi"]}

@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the passages that set
-toxic text apart (words far more frequent in toxic documents). Every window of a text is compressed with
-the ordinary dictionary, padded with more ordinary text, and with the ordinary plus the toxic one; the
-bytes saved by the toxic part are the distance. A logistic fit on the window distances of a document
+One zstandard dictionary is trained, on windows of ordinary text. The toxic content beside it is not trained
+but a word list, a substitute: the words far more frequent in toxic documents, of any length and number. A
+dictionary trained on windows of toxic documents mostly holds what both classes share and does not separate
+them (figures in the README). Every window of a text is compressed with the ordinary dictionary, padded with
+more ordinary text, and with the ordinary plus the toxic content; the bytes saved by the latter are the distance. A logistic fit on the window distances of a document
 (largest, mean of the largest two and four, shares above thresholds, number of windows) calibrates the score.
 
 The fit uses at most ``per_class`` labelled documents of each class. Null and empty texts have one empty
@@ -40,7 +41,7 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves, window by window."""
+    """Bytes that the toxic content saves, window by window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         # equal lengths, so that offsets cost the same
@@ -67,17 +68,17 @@ def features(distance: Distance, texts) -> np.ndarray:
     return np.array(out).reshape(-1, 9)
 
 
-def distinctive_words(sample: DataFrame, limit: int, least: float = 10.0) -> list[str]:
+def distinctive_words(sample: DataFrame, least: float = 10.0) -> list[str]:
     """Words whose document frequency in toxic rows is ``least`` standard errors above that in ordinary ones."""
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(n) < 2:
         return []
     seen = sample.select("y", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " "), " "))).alias("word"))
-    by_word = seen.where("length(word) >= 4").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
+    by_word = seen.where("word <> ''").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
     share = (F.col("t") + F.col("o")) / (n[0] + n[1])
     z = (F.col("t") / n[1] - F.col("o") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
     least = least * min(1.0, np.sqrt(n[0] * n[1] / (n[0] + n[1]) / 400))  # evidence that small samples can give
-    rows = by_word.where(F.col("t") >= 3).select("word", "t", z.alias("z")).where(F.col("z") > max(least, 2.5)).orderBy(F.desc("z"), "word").limit(limit)
+    rows = by_word.where(F.col("t") >= 3).select("word", "t", z.alias("z")).where(F.col("z") > max(least, 2.5)).orderBy(F.desc("z"), "word")
     return [r.word for r in rows.collect()]
 
 
@@ -90,10 +91,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", per_class: int = 3000, dictionary: int = 110_000,
-          toxic_words: int = 400, sample_windows: int = 20_000, **names: str) -> Model:
+          sample_windows: int = 20_000, **names: str) -> Model:
     sample = labelled_sample(docs, labels, label, learn, per_class, **names)
     # the rarest of the distinctive words first: nearer content is cheaper to refer to
-    words = distinctive_words(sample, toxic_words)[::-1]
+    words = distinctive_words(sample)[::-1]
 
     def cut(batches):
         for b in batches:
