@@ -8,7 +8,7 @@ from tidewarden.operators import bans as ban_tables
 from tidewarden.operators import ledger, membership
 from tidewarden.params import Params
 from tidewarden.schemas import ACTIVE_BANS, DETECTIONS, OFFENSES, WHITELIST
-from tidewarden.sources import tables
+from tidewarden.sources import lists, tables
 
 NOW = 1_700_000_000
 P = Params(ban_duration=100, progressive_multiplier=2, progressive_max_level=3, progressive_reset_after=1000)
@@ -142,6 +142,18 @@ def test_emptied_good_list_lifts(spark):
     assert kept.active_bans.count() == 1 and lifted.active_bans.count() == 0
 
 
+def test_emptied_copy_is_the_newest(spark):
+    fetches = spark.createDataFrame([("a", 1, 200), ("a", 2, 200), ("b", 1, 503)], "source_name string, fetched_at int, status int")
+    lines = spark.createDataFrame([("a", 1, 200, "1.2.3.4")], "source_name string, fetched_at int, status int, line string")
+    entries = lists.parse_list(lists.list_latest_good(lines, fetches=fetches))
+    desired = entries.select(F.col("entry").alias("address"))
+    table = bans(spark, ban("1.2.3.4", source="external-blocklist"))
+    step = ledger.blocklist_sync(table, whitelist(spark, "z"), desired, P, NOW, lists.good_copies(fetches))
+    assert rows(step.history, "action", "client_ip") == [("UNBAN", "1.2.3.4")] and step.active_bans.count() == 0
+    failed = lists.good_copies(fetches.filter("source_name = 'b'"))
+    assert rows(ledger.blocklist_sync(table, whitelist(spark, "z"), desired, P, NOW, failed).history) == []
+
+
 def test_blocklist_sync(spark):
     table = bans(spark, ban("listed", source="external-blocklist"), ban("dropped", source="external-blocklist"), ban("mine"))
     step = ledger.blocklist_sync(table, whitelist(spark, "allowed"), addresses(spark, "listed", "new", "allowed", "mine"), P, NOW)

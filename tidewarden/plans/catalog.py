@@ -172,7 +172,7 @@ def ban_exists(t: Tables) -> DataFrame:
 
 
 def _entries(t: Tables) -> DataFrame:
-    return lists.parse_list(lists.list_latest_good(t.list_snapshots(), "fetched_seq"))
+    return lists.parse_list(lists.list_latest_good(t.list_snapshots(), "fetched_seq", t.list_fetches()))
 
 
 def _desired(t: Tables) -> DataFrame:
@@ -227,7 +227,8 @@ def whitelist_sync(t: Tables) -> DataFrame:
 
 @query
 def blocklist_sync(t: Tables) -> DataFrame:
-    return ledger.blocklist_sync(t.active_bans(), t.whitelist(), _desired(t), DEMO, NOW).history
+    return ledger.blocklist_sync(t.active_bans(), t.whitelist(), _desired(t), DEMO, NOW,
+                                 lists.good_copies(t.list_fetches(), "fetched_seq")).history
 
 
 @query

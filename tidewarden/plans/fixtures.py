@@ -217,6 +217,10 @@ class Tables:
             "source_name string, fetched_seq int, status int, line string")
         return good.unionByName(failed)
 
+    def list_fetches(self) -> DataFrame:
+        """One row per source and copy, also where a copy has no lines."""
+        return self.list_snapshots().select("source_name", "fetched_seq", "status").distinct()
+
     def dns_answers(self) -> DataFrame:
         no = F.col("page_id")
         return self.raw("pages").filter("page_id % 4 <> 3").select(

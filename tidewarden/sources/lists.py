@@ -18,14 +18,20 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
         F.input_file_name().alias("source_name"), F.col("value").alias("line"))
 
 
-def list_latest_good(snapshots: DataFrame, order: str = "fetched_at") -> DataFrame:
+def good_copies(fetches: DataFrame, order: str = "fetched_at") -> DataFrame:
+    """``(source_name, order)`` of the newest fetch with a 2xx status of every source."""
+    return fetches.filter("status BETWEEN 200 AND 299").groupBy("source_name").agg(F.max(order).alias(order))
+
+
+def list_latest_good(snapshots: DataFrame, order: str = "fetched_at", fetches: DataFrame | None = None) -> DataFrame:
     """Lines of the newest copy with a 2xx status of every source.
 
     A failed or unchanged fetch falls back to the copy before it; a source that never had
-    a good copy gives no rows.
+    a good copy gives no rows. ``fetches`` has a row for every fetch (``source_name``, order, ``status``),
+    also where the copy had no lines; without it such a copy does not show, and the one before is used.
     """
     good = snapshots.filter("status BETWEEN 200 AND 299")
-    newest = good.groupBy("source_name").agg(F.max(order).alias(order))
+    newest = good_copies(snapshots if fetches is None else fetches, order)
     return good.join(newest, ["source_name", order], "left_semi")
 
 
