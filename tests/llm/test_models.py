@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewarden.llm import classes, langid, linededup, neardup, quality, toxicity
+from tidewarden.llm import classes, decontaminate, langid, linededup, neardup, quality, toxicity
 from tidewarden.llm.common import fold
 
 
@@ -138,6 +138,20 @@ def test_line_classes(docs_of, edits):
     assert linededup.line_classes(docs_of(docs).limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_keep_their_own_lines(docs_of):
+    rows = [(1, "one\ntwo\nthe same long line"), (None, "three\nfour\nthe same long line"), (None, "five\nsix\nan unlike thing 2"),
+            (7, "a\nb\nthe same long line"), (7, "c\nd\nanother long text"), (None, "the same long line"), (None, "some unlike words here")]
+    left = [line for r in linededup.drop_repeats(docs_of(rows)).collect() for line in r.text.split("\n")]
+    assert sorted(left) == sorted({line for _, text in rows for line in text.split("\n")})
+
+
+def test_null_ids_do_not_share_contamination(docs_of, prose):
+    item, clean = prose(20, 1), [prose(40, 2), prose(40, 3)]
+    rows = [(None, f"{prose(9, 4)} {item}"), (None, clean[0]), (5, clean[1]), (5, item)]
+    items = docs_of([(1, item)]).select(F.col("doc_id").alias("item_id"), "text")
+    assert sorted(r.text for r in decontaminate.clean(docs_of(rows), items).collect()) == sorted(clean)
+
+
 # ---- classifiers
 
 @pytest.fixture(scope="module")

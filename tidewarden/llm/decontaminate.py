@@ -31,9 +31,9 @@ def signatures(items: DataFrame, threshold: float, n: int) -> DataFrame:
                         F.explode(F.slice("h", 1, F.col("q") - need + 1)).alias("hash"))
 
 
-def contained(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 5, item_id: str = "item_id",
+def verified(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 5, item_id: str = "item_id",
               doc_id: str = "doc_id", item_text: str = "text", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) for containment of at least ``threshold``."""
+    """(doc_id, text_key, item_id, n_item, n_shared, containment) for containment of at least ``threshold``."""
     items = staged(own_columns(items, item_id=item_id, text=item_text)
                    .select("item_id", F.monotonically_increasing_id().alias("item_row"), "text"))
     sigs = staged(signatures(items, threshold, n))
@@ -51,21 +51,25 @@ def contained(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int
     # exact: the item's shingles as text, looked up in the document's words
     text_of = body.select(F.col("doc_id").alias("__id"), key.alias("__key"), "text")
     with_text = (found.join(text_of, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
-                 .select("doc_id", "item_row", F.array_join(words(F.col("text")), " ").alias("plain")))
+                 .select("doc_id", "text_key", "item_row", F.array_join(words(F.col("text")), " ").alias("plain")))
     item_words = items.select("item_row", "item_id", words(F.col("text")).alias("w")).where(F.size("w") >= n)
     runs = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
     item_runs = item_words.select("item_row", "item_id", F.array_distinct(runs).alias("runs"))
     shared = let(F.concat(F.lit(" "), "plain", F.lit(" ")), lambda p: F.size(F.filter(
         "runs", lambda r: F.contains(p, F.concat(F.lit(" "), r, F.lit(" "))))))
-    exact = with_text.join(item_runs, "item_row").select("doc_id", "item_id", F.size("runs").alias("n_item"), shared.alias("n_shared"))
-    best = exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-9)
-    return (best.groupBy("doc_id", "item_id")
+    exact = with_text.join(item_runs, "item_row").select("doc_id", "text_key", "item_id", F.size("runs").alias("n_item"), shared.alias("n_shared"))
+    return exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-9)
+
+
+def contained(items: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) for containment of at least ``threshold``."""
+    return (verified(items, docs, **options).groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("b"))
             .select("doc_id", "item_id", F.col("b.n_item").cast("long").alias("n_item"),
                     F.col("b.n_shared").cast("long").alias("n_shared"), F.col("b.containment").alias("containment")))
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Documents that contain no item; all columns stay."""
-    hit = contained(items, docs, doc_id=doc_id, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__hit")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Documents that contain no item; all columns stay. A document is its id and its text."""
+    hit = verified(items, docs, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("__hit"), F.col("text_key").alias("__text")).distinct()
+    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__hit")) & (F.xxhash64(f"`{text}`") == F.col("__text")), "left_anti")

@@ -4,13 +4,13 @@ Equal lines are one line first. A line of length L is split into ``max_edits + 1
 ``max_edits`` edits one of them must survive. A line looks up, for every length from its own down by
 ``max_edits``, the substrings that can match a segment given its place and the difference in length.
 Candidates are verified by banded bit-parallel edit distance. Classes are connected components of linked
-lines; the first line of a class by (doc_id, line number) stays, the others are repeats.
+lines; the first line of a class by (doc_id, text hash, line number) stays, the others are repeats.
 
 Buckets that many different lines share are refined when one edit is allowed: the lines are split into
 ``FINE`` segments, all but one of which must survive, so that a key covers all of the line but one segment.
 
 Lines end at a newline; those below ``min_chars`` characters are left alone. Null texts have no lines. Rows
-that repeat a doc_id are the same document. Extra columns stay. An empty table gives no rows. Lines are
+that repeat both doc_id and text are the same document. Extra columns stay. An empty table gives no rows. Lines are
 told apart by 64-bit hashes and their length.
 """
 
@@ -108,23 +108,19 @@ def within(a: list[str], b: list[str], max_edits: int) -> np.ndarray:
 
 def lines_of(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
     body = own_columns(docs, doc_id=doc_id, text=text)
-    lines = body.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = body.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.withColumn("length", F.length("line")).where(F.col("length") >= min_chars).withColumn("h", F.xxhash64("line", "length"))
 
 
-def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, class_doc, class_line, copies, keep), a row for every line of ``min_chars`` and more.
-
-    ``class_doc`` and ``class_line`` are the place of the first line of the class, ``copies`` the number of
-    lines equal to this one.
-    """
+def placed_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_key, line_no, class_doc, class_line, copies, keep), as in ``line_classes``."""
     lines = lines_of(docs, min_chars, doc_id, text)
     keys = segment_keys(F.col("line"), F.col("length"), max_edits)
     # numbers only are shuffled: the keys of equal lines are equal
     width = _key_count(max_edits)
     numbered = lines.withColumn("keys", keys)
-    place = F.struct("doc_id", "line_no")
-    numbered = staged(numbered.select("doc_id", "line_no", "h", "keys"))
+    place = F.struct("doc_id", "text_key", "line_no")
+    numbered = staged(numbered.select("doc_id", "text_key", "line_no", "h", "keys"))
     distinct = staged(numbered.select("h", place.alias("at"), *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(width)])
                       .groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("at"),
                                         *[F.min(f"k{i}").alias(f"k{i}") for i in range(width)]))
@@ -133,11 +129,11 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_i
     rows = staged(every.join(shared, "key").select("key", F.col("h").alias("id")))
     # the texts of lines that share a key with another one, each from the place where it comes first
     wanted = rows.select(F.col("id").alias("h")).distinct().join(distinct.select("h", "at"), "h")
-    by_doc = staged(wanted.groupBy(F.col("at.doc_id").alias("__id")).agg(F.collect_list(F.struct("at.line_no", "h")).alias("wanted")))
+    by_doc = staged(wanted.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__text")).agg(F.collect_list(F.struct("at.line_no", "h")).alias("wanted")))
     body = own_columns(docs, doc_id=doc_id, text=text)
     cut_out = let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(
         x["h"].alias("h"), F.get(parts, x["line_no"]).alias("line"))))
-    found = by_doc.join(body, F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
+    found = by_doc.join(body, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
     texts = staged(found.where(F.xxhash64("line", F.length("line")) == F.col("h")).dropDuplicates(["h"]))
 
     def refine(ids: DataFrame) -> DataFrame:
@@ -163,11 +159,20 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc_i
     least = together.groupBy("label").agg(F.min("at").alias("first"))
     joined = together.join(least, "label").select("h", "copies", "first")
     table = staged(alone.unionByName(joined))
-    return numbered.select("doc_id", "line_no", "h").join(table, "h").select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("class_doc"),
+    return numbered.select("doc_id", "text_key", "line_no", "h").join(table, "h").select(
+        "doc_id", "text_key", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("class_doc"),
         F.col("first.line_no").cast("long").alias("class_line"), "copies", F.col("first").eqNullSafe(place).alias("keep"))
 
 
+def line_classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, line_no, class_doc, class_line, copies, keep), a row for every line of ``min_chars`` and more.
+
+    ``class_doc`` and ``class_line`` are the place of the first line of the class, ``copies`` the number of
+    lines equal to this one.
+    """
+    return placed_classes(docs, **options).drop("text_key")
+
+
 def _key_count(max_edits: int) -> int:
     total = 0
     for shorter in range(max_edits + 1):
@@ -182,12 +187,12 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     Texts that had no line to lose stay as they are.
     """
-    repeats = line_classes(docs, doc_id=doc_id, text=text, **options).where("not keep")
-    gone = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("__gone"))
+    repeats = placed_classes(docs, doc_id=doc_id, text=text, **options).where("not keep")
+    gone = repeats.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).agg(F.collect_set(F.col("line_no").cast("int")).alias("__gone"))
     body = F.col(f"`{text}`")
     parts = F.split(body, "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
-    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__text")), "left")
     rows = joined.withColumn("__lines", parts).withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
     rebuilt = F.array_join(F.transform("__left", lambda i: F.get(F.col("__lines"), i)), "\n")
     rows = rows.withColumn(text, F.when(F.col("__left").isNotNull(), rebuilt).otherwise(body))
