@@ -210,6 +210,14 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predictions(docs, langid.train(docs.limit(0), lambda d: fold(d, 4) != 2)).collect()} == {"und"}
 
 
+def test_large_languages_leave_small_ones_their_words(spark):
+    letters = "abcdefghij"
+    wide = " ".join("".join(letters[int(c)] for c in str(i)) for i in range(100_000, 181_000))
+    rows = [(1, f"{wide} {wide}", "aa"), (2, "zyx wvu", "zz"), *((10 + i, "x" * 90, f"l{i}") for i in range(210))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda d: d > 0)
+    assert len(model.langs) == 212 and model.predict(["zyx"])[0] == ["zz"] and "x" * 90 in model.words
+
+
 def test_backoff_uses_the_longest_known_pieces():
     model = langid.Model([("a", "windmill", 9), ("b", "sunlight", 9)])
     assert np.argmax(model.word_score("windmills")) == 0 and np.argmax(model.word_score("sunny")) == 1

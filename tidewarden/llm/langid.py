@@ -4,19 +4,19 @@ A word that was learned scores its log frequency in every language. A word that
 its character n-grams of the longest length of which at least one was learned, from ``longest`` down to
 one. The language with the highest mean over the words of the text wins; equal means go to the first by name.
 
-The tables are counted by Spark over at most ``per_lang`` documents of each language and hold at most
-``max_words`` words. A word is a run of letters and marks, in lower case. Texts that are null or
+Words are counted by Spark over at most ``per_lang`` documents of each language. The tables hold all of them,
+however many languages there are, and all of their n-grams; they grow with the vocabulary of the sample. A word is a run of letters and marks, in lower case. Texts that are null or
 have no letter are ``und`` with score 0. The score is the softmax of the means. Rows that repeat are
 judged each; language, source and id never enter a prediction. Without learned languages all is ``und``.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,34 +26,51 @@ LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 HAS_LETTER = regex.compile(r"\p{L}")
 
 
+class Shares:
+    """Log shares of keys in every language; only counts that are not zero are held."""
+
+    def __init__(self, keys: list[str], places: list[int], counts: list[int], n_langs: int):
+        rows = pa.table({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "n": pa.array(counts, pa.int64())})
+        rows = rows.group_by(["key", "place"]).aggregate([("n", "sum")]).sort_by("key")
+        names = rows["key"].combine_chunks()
+        self.place, self.n = rows["place"].to_numpy(), rows["n_sum"].to_numpy().astype(float)
+        runs = pc.run_end_encode(names)
+        ends = runs.run_ends.to_numpy()
+        self.at = dict(zip(runs.values.to_pylist(), zip([0, *ends[:-1].tolist()], ends.tolist())))
+        total = np.bincount(self.place, weights=self.n, minlength=n_langs) + len(self.at) * 0.5
+        self.log_total = np.log(np.maximum(total, 0.5))
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.at
+
+    def get(self, key: str) -> np.ndarray | None:
+        found = self.at.get(key)
+        if found is None:
+            return None
+        value = np.full(len(self.log_total), np.log(0.5))
+        value[self.place[found[0]:found[1]]] = np.log(self.n[found[0]:found[1]] + 0.5)
+        return value - self.log_total
+
+    __getitem__ = get
+
+
 class Model:
     def __init__(self, counts: list[tuple[str, str, int]], longest: int = 5):
         """From (language, word, count) rows."""
         self.langs = sorted({lang for lang, _, _ in counts})
         self.longest = longest
         place = {lang: i for i, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-        parts: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(self.langs))) for _ in range(longest + 1)]
-        for lang, word, n in counts:
-            words[word][place[lang]] += n
-            for k in range(1, longest + 1):
-                for g in self.pieces(word, k):
-                    parts[k][g][place[lang]] += n
-        self.words = self.log_shares(words)
-        self.parts = [self.log_shares(p) for p in parts]
+        self.words = Shares([w for _, w, _ in counts], [place[x] for x, _, _ in counts], [n for _, _, n in counts], len(self.langs))
+        self.parts = []
+        for k in range(longest + 1):
+            pieces = [(g, place[lang], n) for lang, word, n in counts for g in self.pieces(word, k)] if k else []
+            self.parts.append(Shares(*([p[i] for p in pieces] for i in range(3)), len(self.langs)))
 
     @staticmethod
     def pieces(word: str, k: int) -> list[str]:
         marked = f"<{word}>" if k > 1 else word
         return [marked[i:i + k] for i in range(len(marked) - k + 1)]
 
-    @staticmethod
-    def log_shares(table) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        total = sum(table.values()) + len(table) * 0.5
-        return {key: np.log((n + 0.5) / total) for key, n in table.items()}
-
     def word_score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
@@ -89,26 +106,22 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, learn, per_lang: int = 2000, max_words: int = 80_000, max_langs: int = 200,
-          doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, learn, per_lang: int = 2000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     body = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where("text is not null and lang is not null and doc_id is not null")
     body = body.where(learn(F.col("doc_id")))
-    langs = [r.lang for r in body.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     # a threshold on the id hash leaves somewhat over per_lang documents of each language ...
-    sizes = {r.lang: r["count"] for r in body.where(F.col("lang").isin(langs)).groupBy("lang").count().collect()}
-    low = -2 ** 63
-    cut = F.lit(low)
-    for name in langs:
-        share = min(1.0, 1.5 * per_lang / sizes[name])
-        cut = F.when(F.col("lang") == name, F.lit(int(low + share * (2 ** 64 - 1)) if share < 1 else 2 ** 63 - 1)).otherwise(cut)
-    near = body.where(F.col("lang").isin(langs)).where(F.xxhash64("doc_id") <= cut).select("doc_id", "lang").distinct()
+    share = 1.5 * per_lang / F.col("count")
+    cut = F.when(share < 1, (-2.0 ** 63 + share * 2.0 ** 64).cast("long")).otherwise(2 ** 63 - 1)
+    cuts = staged(body.groupBy("lang").count().select("lang", cut.alias("cut")))
+    # one row of two columns per language
+    near = body.select("doc_id", "lang").join(F.broadcast(cuts), "lang").where(F.xxhash64("doc_id") <= F.col("cut")).select("doc_id", "lang").distinct()
     # ... of which the first are taken
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = staged(near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).drop("n"))
-    sample = body.join(F.broadcast(ids), ["doc_id", "lang"])  # at most per_lang ids of max_langs languages
-    seen = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> '' and length(word) <= 60")
-    counts = seen.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(max_words).collect()
-    return Model([(r.lang, r.word, r["count"]) for r in counts])
+    sample = body.join(F.broadcast(ids), ["doc_id", "lang"])  # at most per_lang ids of each language
+    seen = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
+    counts = seen.groupBy("lang", "word").count().toArrow()
+    return Model(list(zip(*[counts[c].to_pylist() for c in ("lang", "word", "count")])))
 
 
 def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
