@@ -13,6 +13,7 @@ judged each; language, source and id never enter a prediction. Without learned l
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,20 @@ HAS_LETTER = regex.compile(r"\p{L}")
 class Shares:
     """Log shares of keys in every language; only counts that are not zero are held."""
 
-    def __init__(self, keys: list[str], places: list[int], counts: list[int], n_langs: int):
-        rows = pa.table({"key": pa.array(keys, pa.string()), "place": pa.array(places, pa.int32()), "n": pa.array(counts, pa.int64())})
-        rows = rows.group_by(["key", "place"]).aggregate([("n", "sum")]).sort_by("key")
-        names = rows["key"].combine_chunks()
-        self.place, self.n = rows["place"].to_numpy(), rows["n_sum"].to_numpy().astype(float)
-        runs = pc.run_end_encode(names)
-        ends = runs.run_ends.to_numpy()
-        self.at = dict(zip(runs.values.to_pylist(), zip([0, *ends[:-1].tolist()], ends.tolist())))
+    def __init__(self, chunks: Iterable[pa.Table], n_langs: int):
+        """From (key, place, n) rows, summed chunk by chunk."""
+        rows = self.summed(pa.concat_tables([self.summed(c) for c in chunks])).sort_by([("key", "ascending"), ("place", "ascending")])
+        self.place, self.n = rows["place"].to_numpy().astype(np.int32), rows["n"].to_numpy().astype(np.int64)
+        runs = pc.run_end_encode(rows["key"].combine_chunks())
+        self.ends = np.r_[0, runs.run_ends.to_numpy()].astype(np.int64)
+        self.at = {key: i for i, key in enumerate(runs.values.to_pylist())}
         total = np.bincount(self.place, weights=self.n, minlength=n_langs) + len(self.at) * 0.5
         self.log_total = np.log(np.maximum(total, 0.5))
 
+    @staticmethod
+    def summed(rows: pa.Table) -> pa.Table:
+        return rows.group_by(["key", "place"]).aggregate([("n", "sum")]).rename_columns(["key", "place", "n"])
+
     def __contains__(self, key: str) -> bool:
         return key in self.at
 
@@ -48,23 +52,33 @@ class Shares:
         if found is None:
             return None
         value = np.full(len(self.log_total), np.log(0.5))
-        value[self.place[found[0]:found[1]]] = np.log(self.n[found[0]:found[1]] + 0.5)
+        part = slice(self.ends[found], self.ends[found + 1])
+        value[self.place[part]] = np.log(self.n[part] + 0.5)
         return value - self.log_total
 
     __getitem__ = get
 
 
 class Model:
-    def __init__(self, counts: list[tuple[str, str, int]], longest: int = 5):
+    def __init__(self, counts: list[tuple[str, str, int]] | pa.Table, longest: int = 5):
         """From (language, word, count) rows."""
-        self.langs = sorted({lang for lang, _, _ in counts})
+        if not isinstance(counts, pa.Table):
+            counts = pa.table([pa.array([row[i] for row in counts], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "count"])
+        self.langs = sorted(pc.unique(counts["lang"]).to_pylist())
         self.longest = longest
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        self.words = Shares([w for _, w, _ in counts], [place[x] for x, _, _ in counts], [n for _, _, n in counts], len(self.langs))
-        self.parts = []
-        for k in range(longest + 1):
-            pieces = [(g, place[lang], n) for lang, word, n in counts for g in self.pieces(word, k)] if k else []
-            self.parts.append(Shares(*([p[i] for p in pieces] for i in range(3)), len(self.langs)))
+        place = pc.index_in(counts["lang"], pa.array(self.langs, pa.string()))
+        rows = pa.table([counts["word"], place, counts["count"]], ["key", "place", "n"])
+        self.words = Shares([rows], len(self.langs))
+        self.parts = [Shares(self.all_pieces(rows, k), len(self.langs)) for k in range(1, longest + 1)]
+
+    def all_pieces(self, rows: pa.Table, k: int, step: int = 20_000) -> Iterator[pa.Table]:
+        """The n-grams of the words, some words at a time."""
+        for start in range(0, max(1, len(rows)), step):
+            part = rows.slice(start, step)
+            grams = [self.pieces(word, k) for word in part["key"].to_pylist()]
+            source = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            yield pa.table([pa.array([g for found in grams for g in found], pa.string()), part["place"].to_numpy()[source],
+                            part["n"].to_numpy()[source]], ["key", "place", "n"])
 
     @staticmethod
     def pieces(word: str, k: int) -> list[str]:
@@ -76,7 +90,7 @@ class Model:
         if known is not None:
             return known
         for k in range(self.longest, 0, -1):
-            found = [v for v in map(self.parts[k].get, self.pieces(word, k)) if v is not None]
+            found = [v for v in map(self.parts[k - 1].get, self.pieces(word, k)) if v is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
@@ -121,7 +135,7 @@ def train(docs: DataFrame, learn, per_lang: int = 2000, doc_id: str = "doc_id",
     sample = body.join(F.broadcast(ids), ["doc_id", "lang"])  # at most per_lang ids of each language
     seen = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
     counts = seen.groupBy("lang", "word").count().toArrow()
-    return Model(list(zip(*[counts[c].to_pylist() for c in ("lang", "word", "count")])))
+    return Model(counts)
 
 
 def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
