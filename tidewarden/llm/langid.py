@@ -33,12 +33,13 @@ class Shares:
     def __init__(self, chunks: Iterable[pa.Table], n_langs: int):
         """From (key, place, n) rows, summed chunk by chunk."""
         rows = self.summed(pa.concat_tables([self.summed(c) for c in chunks])).sort_by([("key", "ascending"), ("place", "ascending")])
-        self.place, self.n = rows["place"].to_numpy().astype(np.int32), rows["n"].to_numpy().astype(np.int64)
+        self.place, n = rows["place"].to_numpy().astype(np.intp), rows["n"].to_numpy().astype(np.int64)
         runs = pc.run_end_encode(rows["key"].combine_chunks())
         self.ends = np.r_[0, runs.run_ends.to_numpy()].astype(np.int64)
         self.at = {key: i for i, key in enumerate(runs.values.to_pylist())}
-        total = np.bincount(self.place, weights=self.n, minlength=n_langs) + len(self.at) * 0.5
-        self.log_total = np.log(np.maximum(total, 0.5))
+        total = np.bincount(self.place, weights=n, minlength=n_langs) + len(self.at) * 0.5
+        log_total = np.log(np.maximum(total, 0.5))
+        self.unseen, self.logs = np.log(0.5) - log_total, np.log(n + 0.5) - log_total[self.place]
 
     @staticmethod
     def summed(rows: pa.Table) -> pa.Table:
@@ -51,10 +52,10 @@ class Shares:
         found = self.at.get(key)
         if found is None:
             return None
-        value = np.full(len(self.log_total), np.log(0.5))
-        part = slice(self.ends[found], self.ends[found + 1])
-        value[self.place[part]] = np.log(self.n[part] + 0.5)
-        return value - self.log_total
+        low, high = self.ends[found], self.ends[found + 1]
+        value = self.unseen.copy()
+        value[self.place[low:high]] = self.logs[low:high]
+        return value
 
     __getitem__ = get
 
@@ -92,7 +93,7 @@ class Model:
         for k in range(self.longest, 0, -1):
             found = [v for v in map(self.parts[k - 1].get, self.pieces(word, k)) if v is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found) / len(found)
         return np.zeros(len(self.langs))
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
