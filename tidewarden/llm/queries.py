@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, toxicity, urlfilter
+from tidewarden.llm import decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, sharding, toxicity, urlfilter, variants
 from tidewarden.llm.common import fold, table
 
 URL_RULES = [
@@ -65,6 +65,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.scores(docs, model), 4, 2, 0.7)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
 def _held_out(folds: int, held: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out")
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_sharding": op11_sharding,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
@@ -115,4 +125,40 @@ dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 5),
 iu AS (SELECT item_id, len(runs) AS n_item, unnest(runs) AS run FROM ir)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM iu JOIN dr USING (run) GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8 - 1e-9""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), coded AS (
+  -- code points below 256 are one byte, or C3 and one byte
+  SELECT run, list_concat(list_transform(range(1, length(id) + 1), lambda i: unicode(id[i])), [58],
+    flatten(list_transform(range(1, length(run) + 1), lambda i:
+      CASE WHEN unicode(run[i]) < 128 THEN [unicode(run[i])] ELSE [195, unicode(run[i]) - 64] END))) AS bytes
+  FROM runs WHERE length(run) >= 6
+), hashed AS (
+  SELECT run, xor(list_reduce(bytes, lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8],
+    lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, byte::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM coded
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed
+), vocab AS (
+  SELECT word, count(*) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+), cut AS (
+  -- place 0 is the whole word; levenshtein() here counts bytes, so it is not used
+  SELECT word, n, x.i AS place, x.rest FROM (SELECT word, n, unnest(list_transform(range(0, length(word) + 1), lambda i:
+    {'i': i, 'rest': CASE WHEN i = 0 THEN word ELSE word[:i - 1] || word[i + 1:] END})) AS x FROM vocab)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest)
+  WHERE a.word <> b.word AND (a.place = b.place OR a.place = 0 OR b.place = 0)
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN other END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n
+  FROM vocab LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+  UNION ALL
+  SELECT chain.word, judged.form FROM chain JOIN judged ON chain.root = judged.word WHERE judged.form IS NOT NULL
+), roots AS (SELECT chain.word, chain.root FROM chain JOIN judged ON chain.root = judged.word WHERE judged.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN roots USING (word)""",
 }
