@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewarden.llm import decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, sharding, toxicity, urlfilter, variants
+from tidewarden.llm import collocations, decontaminate, fingerprint, langid, linededup, mixing, neardup, quality, secrets, sharding, toxicity, urlfilter, variants
 from tidewarden.llm.common import fold, table
 
 URL_RULES = [
@@ -69,6 +69,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.word_counts(table(spark, sf_dir, "documents")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_quality": op10_quality,
     "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -125,6 +130,35 @@ dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(w) >= 5),
 iu AS (SELECT item_id, len(runs) AS n_item, unnest(runs) AS run FROM ir)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM iu JOIN dr USING (run) GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8 - 1e-9""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM split, (VALUES (1), (2), (3), (4), (5)) t(k) WHERE len(w) >= k
+), counted AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, k, phrase, f, unnest(generate_series(1, k - 1)) AS cut, string_split(phrase, ' ') AS w FROM counted WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ') JOIN total t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT DISTINCT c.lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, c.f FROM (SELECT DISTINCT lang, k, phrase, f, w FROM cuts) c,
+    (VALUES (2), (3), (4)) t(m), (VALUES (1), (2), (3), (4)) u(i) WHERE m < k AND i + m - 1 <= k
+), kept AS (
+  SELECT * FROM lowest WHERE NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = lowest.lang AND p.phrase = lowest.phrase AND 100 * p.f >= 100 * lowest.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     "op13_spelling_variants": r"""
 WITH RECURSIVE runs AS (
   SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
