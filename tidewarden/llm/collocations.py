@@ -32,9 +32,9 @@ from tidewarden.llm.common import own_columns, staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: bytes of text that are sorted as one shard
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 5_000_000
 #: sequences of a range: what one task unites
-RANGE_ROWS = 3_000_000
+RANGE_ROWS = 1_500_000
 #: questions that one copy of a range's automaton answers
 ANSWERS = 200_000
 #: sample keys of a shard, and of a range when bounds are chosen
@@ -126,11 +126,14 @@ def _unpacked(blob) -> pa.Table:
 
 def _segment(words: pa.Array, rows: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
     """Words in use and the sequences in terms of them, as compressed columns."""
-    used = np.unique(rows[rows >= 0])
-    local = np.searchsorted(used, rows).astype(np.int64) + 1
-    local[rows < 0] = 0
-    kind = np.uint16 if len(used) < 65_535 else np.uint32
-    columns = {f"l{j}": pa.array(local[:, j].astype(kind)) for j in range(rows.shape[1])}
+    marked = np.zeros(len(words), dtype=bool)
+    for j in range(rows.shape[1]):
+        column = rows[:, j]
+        marked[column[column >= 0]] = True
+    used = np.flatnonzero(marked)
+    local = np.concatenate([np.cumsum(marked), [0]]).astype(np.uint16 if len(used) < 65_535 else np.uint32)
+    # one column at a time; -1 reads the 0 at the end
+    columns = {f"l{j}": pa.array(local[rows[:, j]]) for j in range(rows.shape[1])}
     columns["n"] = pa.array(weights)
     return _packed({"word": words.take(pa.array(used))}), _packed(columns)
 
@@ -138,7 +141,10 @@ def _segment(words: pa.Array, rows: np.ndarray, weights: np.ndarray) -> tuple[by
 def _opened(words: bytes, rows: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     table, columns = _unpacked(rows), _unpacked(words).column("word").combine_chunks()
     labels = [c for c in table.column_names if c != "n"]
-    matrix = np.stack([table.column(c).to_numpy().astype(np.int32) - 1 for c in labels], 1)
+    matrix = np.empty((table.num_rows, len(labels)), dtype=np.int32)
+    for j, name in enumerate(labels):
+        matrix[:, j] = table.column(name).to_numpy()
+    matrix -= 1
     return columns, matrix, table.column("n").to_numpy()
 
 
@@ -240,11 +246,13 @@ def _unite(bounds: list[Key], least: int):
         number = table.column("range")[0].as_py()
         parts = [_opened(w.as_py(), r.as_py()) for w, r in zip(table.column("words"), table.column("rows"))]
         words, rank = _ranked(pa.concat_arrays([p[0] for p in parts]))
-        rows, at = [], 0
-        for w, matrix, _ in parts:
-            rows.append(np.where(matrix >= 0, rank[at + np.maximum(matrix, 0)], -1))
-            at += len(w)
-        rows, weights = sorted_distinct(np.concatenate(rows), np.concatenate([p[2] for p in parts]), len(words))
+        weights = np.concatenate([p[2] for p in parts])
+        rows = np.empty((len(weights), parts[0][1].shape[1]), dtype=np.int32)
+        row = at = 0
+        for i, (w, matrix, _) in enumerate(parts):
+            rows[row:row + len(matrix)] = np.where(matrix >= 0, rank[at + np.maximum(matrix, 0)], -1)
+            row, at, parts[i] = row + len(matrix), at + len(w), None
+        rows, weights = sorted_distinct(rows, weights, len(words))
         automaton = Automaton(rows, weights)
         # what a bound's prefixes count goes on in another range
         edges = {edge[:d] for edge in bounds[max(0, number - 1):number + 1] for d in range(1, len(edge))}
