@@ -32,13 +32,13 @@ from tidewarden.llm.common import own_columns, staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: bytes of text that are sorted as one shard
-SHARD_BYTES = 5_000_000
+SHARD_BYTES = 8_000_000
 #: sequences of a range: what one task unites
 RANGE_ROWS = 1_500_000
 #: questions that one copy of a range's automaton answers
 ANSWERS = 200_000
-#: sample keys of a shard, and of a range when bounds are chosen
-SHARD_KEYS, RANGE_KEYS = 32, 16
+#: for each range, bytes of text in the sample that bounds are chosen from
+RANGE_SAMPLE = 60_000
 
 #: piece ends become line ends, tabs become spaces
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n\n\n\n\n\n\n\n\n ")
@@ -68,23 +68,30 @@ def sorted_distinct(rows: np.ndarray, weights: np.ndarray, labels: int) -> tuple
 
 
 class Automaton:
-    """States by depth. ``first``: the row that opened a state, ``parent``: its state one level up, ``weight``."""
+    """States by depth. ``first``: the row that opened a state, ``parent``: its state one level up, ``weight``.
 
-    def __init__(self, rows: np.ndarray, weights: np.ndarray):
+    ``keep(depth, first, weight)`` may leave states out, with all that hang on them.
+    """
+
+    def __init__(self, rows: np.ndarray, weights: np.ndarray, keep=None):
         self.rows, self.first, self.parent, self.weight = rows, [], [], []
         new = np.zeros(len(rows), dtype=bool)
         new[:1] = True
-        above = np.zeros(len(rows), dtype=np.int64)
+        above = np.zeros(len(rows), dtype=np.int32)
         for depth in range(rows.shape[1]):
             new[1:] |= rows[1:, depth] != rows[:-1, depth]
-            groups = np.flatnonzero(new)
-            opened = rows[groups, depth] >= 0
-            self.first.append(groups[opened])
-            self.parent.append(above[groups[opened]])
-            self.weight.append(np.add.reduceat(weights, groups)[opened] if len(groups) else weights[:0])
+            first = np.flatnonzero(new)
+            weight = np.add.reduceat(weights, first) if len(first) else weights[:0]
+            opened = rows[first, depth] >= 0
+            if keep:
+                opened &= keep(depth, first, weight)
+            first, weight = first[opened], weight[opened]
+            self.first.append(first.astype(np.int32))
+            self.parent.append(above[first])
+            self.weight.append(weight)
             is_open = np.zeros(len(rows), dtype=bool)
-            is_open[groups[opened]] = True
-            above = np.cumsum(is_open) - 1
+            is_open[first] = True
+            above = np.cumsum(is_open, dtype=np.int32) - 1
 
     def walk(self, questions: np.ndarray, labels: int) -> tuple[np.ndarray, np.ndarray]:
         """(depth, state) where each question ends; state -1 where the automaton does not know it."""
@@ -92,7 +99,7 @@ class Automaton:
         at_depth = np.full(len(questions), -1)
         for depth in range(questions.shape[1]):
             asked = np.flatnonzero((questions[:, depth] >= 0) & (state >= 0))
-            arcs = self.parent[depth] * labels + self.rows[self.first[depth], depth] if depth else self.rows[self.first[0], 0].astype(np.int64)
+            arcs = self.parent[depth].astype(np.int64) * labels + self.rows[self.first[depth], depth] if depth else self.rows[self.first[0], 0].astype(np.int64)
             wanted = (state[asked] * labels if depth else 0) + questions[asked, depth].astype(np.int64)
             place = np.searchsorted(arcs, wanted)
             known = np.zeros(len(asked), dtype=bool)
@@ -125,27 +132,32 @@ def _unpacked(blob) -> pa.Table:
 
 
 def _segment(words: pa.Array, rows: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
-    """Words in use and the sequences in terms of them, as compressed columns."""
-    marked = np.zeros(len(words), dtype=bool)
+    """Words in use and the sequences in terms of them: frequent words have small numbers, high and low bytes lie apart."""
+    often = np.zeros(len(words), dtype=np.int64)
     for j in range(rows.shape[1]):
         column = rows[:, j]
-        marked[column[column >= 0]] = True
-    used = np.flatnonzero(marked)
-    local = np.concatenate([np.cumsum(marked), [0]]).astype(np.uint16 if len(used) < 65_535 else np.uint32)
-    # one column at a time; -1 reads the 0 at the end
-    columns = {f"l{j}": pa.array(local[rows[:, j]]) for j in range(rows.shape[1])}
-    columns["n"] = pa.array(weights)
+        often += np.bincount(column[column >= 0], minlength=len(words))
+    used = np.flatnonzero(often)
+    used = used[np.argsort(-often[used], kind="stable")]
+    number = np.zeros(len(words) + 1, dtype=np.uint32)  # -1 reads the 0 at the end
+    number[used] = np.arange(1, len(used) + 1)
+    columns = {}
+    for j in range(rows.shape[1]):
+        local = number[rows[:, j]]
+        for byte in range(max(1, (len(used).bit_length() + 7) // 8)):
+            columns[f"{j} {byte}"] = pa.array((local >> np.uint32(8 * byte)).astype(np.uint8))
+    columns["n"] = pa.array(weights.astype(np.uint8) if weights.max() < 256 else weights)
     return _packed({"word": words.take(pa.array(used))}), _packed(columns)
 
 
 def _opened(words: bytes, rows: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    table, columns = _unpacked(rows), _unpacked(words).column("word").combine_chunks()
-    labels = [c for c in table.column_names if c != "n"]
-    matrix = np.empty((table.num_rows, len(labels)), dtype=np.int32)
-    for j, name in enumerate(labels):
-        matrix[:, j] = table.column(name).to_numpy()
+    table, found = _unpacked(rows), _unpacked(words).column("word").combine_chunks()
+    matrix = np.zeros((table.num_rows, 1 + max(int(c.split()[0]) for c in table.column_names if c != "n")), dtype=np.int32)
+    for name in table.column_names[:-1]:
+        j, byte = map(int, name.split())
+        matrix[:, j] += table.column(name).to_numpy().astype(np.int32) << 8 * byte
     matrix -= 1
-    return columns, matrix, table.column("n").to_numpy()
+    return found, matrix, table.column("n").to_numpy().astype(np.int64)
 
 
 def sequences(texts: list[tuple[bytes, bytes]], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -172,17 +184,48 @@ def sequences(texts: list[tuple[bytes, bytes]], longest: int) -> tuple[pa.Array,
     return words, *sorted_distinct(rows, np.ones(len(rows), dtype=np.int64), len(words))
 
 
-def _shards(longest: int, shard_bytes: int):
-    """Each shard of text as one row: its words, its sequences, and some keys of them."""
+def _sampled(longest: int, every: int):
+    """Keys of every so-manieth sequence of a sample of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()))
+            words, rows, _ = sequences(texts, longest)
+            keys = [[words[i].as_py() for i in r if i >= 0] for r in rows[every // 2::every].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.binary()))], ["key"])
+    return run
+
+
+def range_bounds(body: DataFrame, longest: int, range_rows: int) -> list[Key]:
+    """Keys that cut all sequences into ranges of about ``range_rows``; a bounded number of keys for each range.
+
+    They come from a sample of the texts and only balance the work: any bounds give the same counts.
+    """
+    size = body.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = int(size // (6 * range_rows)) + 1  # a word and what parts it take about six bytes
+    if ranges == 1:
+        return []
+    sample = body.where(F.rand(12) < RANGE_SAMPLE * ranges / size)
+    found = sorted(tuple(bytes(w) for w in r.key) for r in sample.mapInArrow(_sampled(longest, RANGE_SAMPLE // 300), "key array<binary>").collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _cut(bounds: list[Key], longest: int, shard_bytes: int):
+    """Each shard of text sorted and cut at the bounds: a row for every range it has sequences of."""
     def flush(texts):
         words, rows, weights = sequences(texts, longest)
-        if len(rows):
-            at = ((np.arange(min(SHARD_KEYS, len(rows))) + 0.5) * len(rows) / min(SHARD_KEYS, len(rows))).astype(int)
-            keys = [[words[i].as_py() for i in rows[r] if i >= 0] for r in at]
-            one, two = _segment(words, rows, weights)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([one]), pa.array([two]), pa.array([len(rows)]), pa.array([keys], pa.list_(pa.list_(pa.binary())))],
-                ["words", "rows", "size", "keys"])
+        known: dict[int, bytes] = {}
+
+        def key(r):
+            return tuple(known.get(i) or known.setdefault(i, words[i].as_py()) for i in rows[r].tolist() if i >= 0)
+
+        ends, low = [], 0
+        for bound in bounds:
+            low = bisect_left(range(len(rows)), bound, low, key=key)
+            ends.append(low)
+        for n, (a, b) in enumerate(zip([0, *ends], [*ends, len(rows)])):
+            if a < b:
+                w, r = _segment(words, rows[a:b], weights[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w]), pa.array([r])], ["range", "words", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -199,47 +242,6 @@ def _shards(longest: int, shard_bytes: int):
     return run
 
 
-def range_bounds(shards: DataFrame, range_rows: int) -> list[Key]:
-    """Keys that cut all sequences into ranges of about ``range_rows``; a bounded number of keys for each range.
-
-    They only balance the work: any bounds give the same counts.
-    """
-    total, n_keys = shards.agg(F.sum("size"), F.sum(F.size("keys"))).first()
-    if not total:
-        return []
-    ranges = -(-total // range_rows)
-    share = max(1, n_keys // (RANGE_KEYS * ranges))
-    keys = shards.select("size", F.posexplode("keys").alias("nth", "key"), F.size("keys").alias("of"))
-    chosen = keys.where(F.pmod(F.xxhash64("key", "nth", "size"), F.lit(share)) == 0).select("key", (F.col("size") / F.col("of")).alias("n"))
-    found = sorted((tuple(bytes(w) for w in r.key), r.n) for r in chosen.collect())
-    if not found:
-        return []
-    ends = np.cumsum([n for _, n in found])
-    return sorted({found[int(np.searchsorted(ends, ends[-1] * i / ranges))][0] for i in range(1, ranges)})
-
-
-def _cut(bounds: list[Key]):
-    """Every shard cut at the bounds: one row for each range it has sequences of."""
-    def run(batches):
-        for batch in batches:
-            for one, two in zip(batch.column("words"), batch.column("rows")):
-                words, rows, weights = _opened(one.as_py(), two.as_py())
-                known: dict[int, bytes] = {}
-
-                def key(r):
-                    return tuple(known.get(i) or known.setdefault(i, words[i].as_py()) for i in rows[r].tolist() if i >= 0)
-
-                ends, low = [], 0
-                for bound in bounds:
-                    low = bisect_left(range(len(rows)), bound, low, key=key)
-                    ends.append(low)
-                for n, (a, b) in enumerate(zip([0, *ends], [*ends, len(rows)])):
-                    if a < b:
-                        w, r = _segment(words, rows[a:b], weights[a:b])
-                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w]), pa.array([r])], ["range", "words", "rows"])
-    return run
-
-
 def _unite(bounds: list[Key], least: int):
     """(lang, phrase, k, f, partial) of one range: states of weight ``least`` and more, languages, and partial states."""
     def run(table: pa.Table) -> pa.Table:
@@ -253,23 +255,22 @@ def _unite(bounds: list[Key], least: int):
             rows[row:row + len(matrix)] = np.where(matrix >= 0, rank[at + np.maximum(matrix, 0)], -1)
             row, at, parts[i] = row + len(matrix), at + len(w), None
         rows, weights = sorted_distinct(rows, weights, len(words))
-        automaton = Automaton(rows, weights)
         # what a bound's prefixes count goes on in another range
         edges = {edge[:d] for edge in bounds[max(0, number - 1):number + 1] for d in range(1, len(edge))}
         label = {w: i for i, w in enumerate(words.to_pylist())} if edges else {}
         shared = {tuple(label[w] for w in e) for e in edges if all(w in label for w in e)}
-        out = []
+
+        def keep(depth, first, weight):
+            kept = weight >= (least if depth else 0)
+            for e in shared:
+                if len(e) == depth + 1:
+                    kept |= (rows[first, :depth + 1] == np.array(e)).all(1)
+            return kept
+
+        automaton, out = Automaton(rows, weights, keep), []
         for depth, (first, weight) in enumerate(zip(automaton.first, automaton.weight)):
-            here = {e for e in shared if len(e) == depth + 1}
-            wanted = weight >= (least if depth else 0)
-            if here:
-                edge = np.zeros(len(first), dtype=bool)
-                for e in here:
-                    edge |= (rows[first, :depth + 1] == np.array(e)).all(1)
-                wanted |= edge
-            for s in np.flatnonzero(wanted).tolist():
-                path = tuple(rows[first[s], :depth + 1].tolist())
-                out.append((words[path[0]].as_py(), b" ".join(words[i].as_py() for i in path[1:]), depth, int(weight[s]), path in here))
+            for row, n in zip(rows[first, :depth + 1].tolist(), weight.tolist()):
+                out.append((words[row[0]].as_py(), b" ".join(words[i].as_py() for i in row[1:]), depth, n, tuple(row) in shared))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()))],
                         names=["lang", "phrase", "k", "f", "partial"])
     return run
@@ -280,9 +281,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, shard_byt
     """((lang, phrase, k, f), bounds): phrases of up to ``longest`` words that occur ``least`` times and more; k 0 has all words."""
     body = own_columns(docs, lang=lang, text=text).where("text is not null")
     body = body.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    shards = staged(body.mapInArrow(_shards(longest, shard_bytes), "words binary, rows binary, size long, keys array<array<binary>>"))
-    bounds = range_bounds(shards, range_rows)
-    cut = shards.select("words", "rows").mapInArrow(_cut(bounds), "range long, words binary, rows binary")
+    bounds = range_bounds(body, longest, range_rows)
+    cut = body.mapInArrow(_cut(bounds, longest, shard_bytes), "range long, words binary, rows binary")
     found = staged(cut.groupBy("range").applyInArrow(_unite(bounds, least), "lang binary, phrase binary, k int, f long, partial boolean"))
     key = ["lang", "phrase", "k"]
     summed = found.where("partial").groupBy(*key).agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
