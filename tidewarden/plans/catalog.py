@@ -181,7 +181,7 @@ def _desired(t: Tables) -> DataFrame:
 
 @query
 def list_latest_good(t: Tables) -> DataFrame:
-    return lists.list_latest_good(t.list_snapshots(), "fetched_seq").select("source_name", "fetched_seq", "line")
+    return lists.list_latest_good(t.list_snapshots(), "fetched_seq", t.list_fetches()).select("source_name", "fetched_seq", "line")
 
 
 @query

@@ -35,21 +35,21 @@ class Tables:
     # -- query log --------------------------------------------------------------------------
 
     def _client(self) -> Column:
+        """Private, shared and public addresses: different ones up to 640,000 users, valid ones for any."""
         user = F.col("user_id")
-        network = F.when(user % 5 == 0, F.lit("192.168.")).when(user % 5 == 1, F.lit("100.64.")).otherwise(
-            F.concat(F.lit("203."), (user % 25).cast("string"), F.lit(".")))
-        return F.concat(network, F.floor(user / 250).cast("string"), F.lit("."), (user % 250 + 1).cast("string"))
+        block = F.floor(user / 64_000)
+        network = F.when(user % 5 == 0, F.concat(F.lit("10."), block % 256)).when(
+            user % 5 == 1, F.concat(F.lit("100."), block % 64 + 64)).otherwise(
+            F.concat(F.lit("203."), user % 25 + block % 10 * 25))
+        return F.concat(network, F.lit("."), F.floor(user / 250) % 256, F.lit("."), user % 250 + 1)
 
     def _asked(self) -> DataFrame:
-        """Events with the host they ask for.
-
-        The join key is a remainder of 16, so at most 31 rows of the keyed ``pages`` table can
-        ever take part; they are picked before the join and may be broadcast.
-        """
-        hosts = self.raw("pages").filter(F.col("page_id").between(-15, 15)).select(
-            "page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
+        """Events with the host they ask for: every user has twelve pages, all users together have all of them."""
+        pages = self.raw("pages")
+        hosts = pages.select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
         number = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-        return self.raw("events").withColumn("page_id", number % 16).join(F.broadcast(hosts), "page_id")
+        asked = (F.col("user_id") * 12 + number % 12) % pages.agg(F.count(F.lit(1))).scalar()
+        return self.raw("events").withColumn("page_id", asked).join(hosts, "page_id")
 
     @staticmethod
     def _proto(plain: str) -> Column:
@@ -63,8 +63,8 @@ class Tables:
         name = F.when(no % 11 == 0, F.lit("")).when(no % 3 == 0, F.concat(F.upper("host"), F.lit("."))).otherwise(F.col("host"))
         copies = F.when(no % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         return self._asked().withColumn("copy", F.explode(copies)).select(
-            F.when(no % 97 == 0, F.lit("not-a-time")).otherwise(
-                F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))).alias("time"),
+            F.when(no % 97 == 0, F.lit("not-a-time")).otherwise(F.concat(
+                F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad((no % 1000).cast("string"), 3, "0"), F.lit("Z"))).alias("time"),
             F.when(no % 13 == 0, F.lit("  ")).otherwise(self._client()).alias("client"),
             self._proto("").alias("client_proto"),
             F.struct(self._client().alias("ip")).alias("client_info"),
@@ -73,7 +73,7 @@ class Tables:
 
     def _queries(self) -> DataFrame:
         return self._asked().select(
-            "event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), F.lit(0).alias("at_ns"),
+            "event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 1000).cast("int").alias("at_ns"),
             self._client().alias("client"), F.col("host").alias("domain"), self._proto("dns").alias("protocol"))
 
     def queries(self) -> DataFrame:
@@ -123,7 +123,7 @@ class Tables:
     @staticmethod
     def _customer_ip(key: str) -> Column:
         k = F.col(key)
-        return F.concat(F.lit("203.0."), F.floor(k / 250).cast("string"), F.lit("."), (k % 250 + 1).cast("string"))
+        return F.concat(F.lit("203."), F.floor(k / 64_000) % 256, F.lit("."), F.floor(k / 250) % 256, F.lit("."), k % 250 + 1)
 
     def ban_history(self) -> DataFrame:
         no, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -188,17 +188,17 @@ class Tables:
     def list_lines(self) -> DataFrame:
         no = F.col("page_id")
         host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
-        octet = (no % 250 + 1).cast("string")
+        tail = F.concat(F.floor(no / 250) % 256, F.lit("."), no % 250 + 1)
         forms = [
-            F.concat(F.lit("203.0.0."), octet, F.lit(" # reason")),
+            F.concat(F.lit("203.0."), tail, F.lit(" # reason")),
             F.concat(F.lit("0.0.0.0 "), host),
             F.col("url"),
-            F.concat(F.lit("198.51."), (no % 200).cast("string"), F.lit(".0/24")),
+            F.concat(F.lit("198."), F.floor(no / 250) % 200 + 50, F.lit("."), no % 250, F.lit(".0/24")),
             F.concat(F.lit("# "), F.col("url")),
-            F.concat(F.lit("203.0.0."), octet, F.lit(":8443")),
+            F.concat(F.lit("203.0."), tail, F.lit(":8443")),
             F.concat(host, F.lit(" ; note")),
             F.lit(""),
-            F.concat(F.lit("203.0.1."), octet, F.lit(" extra")),
+            F.concat(F.lit("203.1."), tail, F.lit(" extra")),
         ]
         line = F
         for i, form in enumerate(forms):
@@ -207,26 +207,30 @@ class Tables:
             "page_id", F.concat(F.lit("src"), (no % 3).cast("string")).alias("source_name"), line.alias("line"))
 
     def list_snapshots(self) -> DataFrame:
-        """Three sources with a first copy, a newer copy of one, and failed fetches."""
+        """A first copy of three sources, a newer one of src0 with status 203, failed fetches, and src4, emptied since."""
         lines = self.list_lines()
         newer = F.when((F.col("source_name") == "src0") & (F.col("page_id") % 2 == 0), F.array(F.lit(1), F.lit(2))).otherwise(
             F.array(F.lit(1)))
-        good = lines.select("source_name", F.explode(newer).alias("fetched_seq"), F.lit(200).alias("status"), "line")
+        good = lines.select("source_name", F.explode(newer).alias("fetched_seq"), "line").select(
+            "source_name", "fetched_seq", F.when(F.col("fetched_seq") == 2, F.lit(203)).otherwise(F.lit(200)).alias("status"), "line")
+        once = self.active_bans().filter("source = 'external-blocklist'").select(
+            F.lit("src4").alias("source_name"), F.lit(1).alias("fetched_seq"), F.lit(200).alias("status"), F.col("client_ip").alias("line"))
         failed = self.spark.createDataFrame(
             [("src1", 2, 503, None), ("src2", 2, 304, None), ("src3", 1, 503, None)],
             "source_name string, fetched_seq int, status int, line string")
-        return good.unionByName(failed)
+        return good.unionByName(once).unionByName(failed)
 
     def list_fetches(self) -> DataFrame:
         """One row per source and copy, also where a copy has no lines."""
-        return self.list_snapshots().select("source_name", "fetched_seq", "status").distinct()
+        emptied = self.spark.createDataFrame([("src4", 2, 200)], "source_name string, fetched_seq int, status int")
+        return self.list_snapshots().select("source_name", "fetched_seq", "status").distinct().unionByName(emptied)
 
     def dns_answers(self) -> DataFrame:
         no = F.col("page_id")
         return self.raw("pages").filter("page_id % 4 <> 3").select(
             F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"),
             F.when(no % 10 == 0, F.lit("0.0.0.0")).otherwise(
-                F.concat(F.lit("198.18.0."), (no % 16).cast("string"))).alias("address")).distinct()
+                F.concat(F.lit("198.18."), F.floor(no / 250) % 256, F.lit("."), no % 250)).alias("address")).distinct()
 
     def log_lines(self) -> DataFrame:
         no, kind = F.col("event_id"), F.col("event_type")

@@ -6,11 +6,12 @@ import re
 
 from tidewarden.plans.fixtures import AS_OF_EPOCH, NOW
 
-_CLIENT = """CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN '192.168.' WHEN 1 THEN '100.64.'
-  ELSE '203.' || CAST(e.user_id % 25 AS STRING) || '.' END
-  || CAST(CAST(floor(e.user_id / 250) AS INT) AS STRING) || '.' || CAST(e.user_id % 250 + 1 AS STRING)"""
+_CLIENT = """CASE CAST(e.user_id % 5 AS INT) WHEN 0 THEN '10.' || (e.user_id // 64000) % 256
+  WHEN 1 THEN '100.' || ((e.user_id // 64000) % 64 + 64) ELSE '203.' || (e.user_id % 25 + (e.user_id // 64000) % 10 * 25) END
+  || '.' || (e.user_id // 250) % 256 || '.' || (e.user_id % 250 + 1)"""
 _HOST = "lower(regexp_extract(p.url, '^https?://([^/:?#]+)', 1))"
-_ASKED = "events e JOIN pages p ON p.page_id = CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) % 16"
+_ASKED = """events e JOIN pages p ON p.page_id =
+  (e.user_id * 12 + CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) % 12) % (SELECT count(*) FROM pages)"""
 
 
 def _proto(plain: str) -> str:
@@ -19,7 +20,7 @@ def _proto(plain: str) -> str:
 
 
 def _cust_ip(key: str) -> str:
-    return (f"'203.0.' || CAST(CAST(floor({key} / 250) AS INT) AS STRING) || '.' || CAST({key} % 250 + 1 AS STRING)")
+    return f"'203.' || ({key} // 64000) % 256 || '.' || ({key} // 250) % 256 || '.' || ({key} % 250 + 1)"
 
 
 _WINDOW = "INTERVAL 7 DAYS"
@@ -31,7 +32,8 @@ CTES = {
     "raw_queries": f"""
       SELECT r.* FROM (
         SELECT b.event_id,
-          CASE WHEN b.event_id % 97 = 0 THEN 'not-a-time' ELSE replace(CAST(ts AS STRING), ' ', 'T') || 'Z' END AS time,
+          CASE WHEN b.event_id % 97 = 0 THEN 'not-a-time' 
+            ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || lpad(CAST(b.event_id % 1000 AS STRING), 3, '0') || 'Z' END AS time,
           CASE WHEN b.event_id % 13 = 0 THEN '  ' ELSE ip END AS client, ip AS client_info_ip,
           CASE WHEN b.event_id % 11 = 0 THEN '' WHEN b.event_id % 3 = 0 THEN upper(hst) || '.' ELSE hst END AS name,
           CASE WHEN b.event_id % 22 = 0 THEN '' ELSE hst END AS host, proto AS client_proto
@@ -39,7 +41,7 @@ CTES = {
       JOIN (SELECT 1 AS copy UNION ALL SELECT 2) c ON c.copy = 1 OR r.event_id % 10 = 0""",
     "tidy": r"""
       SELECT * FROM (
-        SELECT epoch_us(TRY_CAST(CASE WHEN time LIKE '%T%Z' THEN time END AS TIMESTAMPTZ)) AS at_us, CAST(0 AS BIGINT) AS at_ns,
+        SELECT epoch_us(TRY_CAST(CASE WHEN time LIKE '%T%Z' THEN time[:26] || 'Z' END AS TIMESTAMPTZ)) AS at_us, TRY_CAST(time[27:29] AS BIGINT) AS at_ns,
           CASE WHEN trim(client) <> '' THEN trim(client) ELSE trim(client_info_ip) END AS client,
           regexp_replace(lower(CASE WHEN name <> '' THEN name ELSE host END), '[.]$', '') AS domain,
           CASE WHEN client_proto = '' THEN 'dns' ELSE client_proto END AS protocol
@@ -176,26 +178,30 @@ CTES = {
     "list_lines": """
       SELECT page_id, 'src' || CAST(page_id % 3 AS STRING) AS source_name,
         CASE CAST(page_id % 9 AS INT)
-          WHEN 0 THEN '203.0.0.' || CAST(page_id % 250 + 1 AS STRING) || ' # reason'
+          WHEN 0 THEN '203.0.' || (page_id // 250) % 256 || '.' || (page_id % 250 + 1) || ' # reason'
           WHEN 1 THEN '0.0.0.0 ' || regexp_extract(url, '^https?://([^/:?#]+)', 1)
           WHEN 2 THEN url
-          WHEN 3 THEN '198.51.' || CAST(page_id % 200 AS STRING) || '.0/24'
+          WHEN 3 THEN '198.' || ((page_id // 250) % 200 + 50) || '.' || page_id % 250 || '.0/24'
           WHEN 4 THEN '# ' || url
-          WHEN 5 THEN '203.0.0.' || CAST(page_id % 250 + 1 AS STRING) || ':8443'
+          WHEN 5 THEN '203.0.' || (page_id // 250) % 256 || '.' || (page_id % 250 + 1) || ':8443'
           WHEN 6 THEN regexp_extract(url, '^https?://([^/:?#]+)', 1) || ' ; note'
           WHEN 7 THEN ''
-          ELSE '203.0.1.' || CAST(page_id % 250 + 1 AS STRING) || ' extra' END AS line
+          ELSE '203.1.' || (page_id // 250) % 256 || '.' || (page_id % 250 + 1) || ' extra' END AS line
       FROM pages""",
     "list_snapshots": """
       SELECT source_name, CAST(1 AS BIGINT) AS fetched_seq, 200 AS status, line FROM list_lines
-      UNION ALL SELECT source_name, 2, 200, line FROM list_lines WHERE source_name = 'src0' AND page_id % 2 = 0
+      UNION ALL SELECT source_name, 2, 203, line FROM list_lines WHERE source_name = 'src0' AND page_id % 2 = 0
+      UNION ALL SELECT 'src4', 1, 200, client_ip FROM active_bans WHERE source = 'external-blocklist'
       UNION ALL SELECT 'src1', 2, 503, NULL UNION ALL SELECT 'src2', 2, 304, NULL UNION ALL SELECT 'src3', 1, 503, NULL""",
+    "list_fetches": """
+      SELECT DISTINCT source_name, fetched_seq, status FROM list_snapshots UNION ALL SELECT 'src4', 2, 200""",
     "latest_lines": """
-      SELECT source_name, fetched_seq, line FROM list_snapshots WHERE status = 200
-      QUALIFY fetched_seq = max(fetched_seq) OVER (PARTITION BY source_name)""",
+      SELECT source_name, fetched_seq, line FROM list_snapshots SEMI JOIN (
+        SELECT source_name, max(fetched_seq) AS fetched_seq FROM list_fetches WHERE status BETWEEN 200 AND 299 GROUP BY source_name
+      ) USING (source_name, fetched_seq) WHERE status BETWEEN 200 AND 299""",
     "dns_answers": """
       SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host,
-        CASE WHEN page_id % 10 = 0 THEN '0.0.0.0' ELSE '198.18.0.' || CAST(page_id % 16 AS STRING) END AS address
+        CASE WHEN page_id % 10 = 0 THEN '0.0.0.0' ELSE '198.18.' || (page_id // 250) % 256 || '.' || page_id % 250 END AS address
       FROM pages WHERE page_id % 4 <> 3""",
     "entries": "@entries(latest_lines)",
     "resolved": r"""
@@ -331,7 +337,7 @@ def _report_windows() -> str:
 FINAL = {
     "normalize_queries": "SELECT at_us, at_ns, client, domain, protocol FROM tidy",
     "dedupe_queries": "SELECT DISTINCT at_us, at_ns, client, domain, protocol FROM tidy",
-    "retain_recent": f"SELECT at_us, CAST(0 AS BIGINT) AS at_ns, client, domain, protocol FROM queries WHERE asked > {_AS_OF} - INTERVAL 604830 SECONDS",
+    "retain_recent": f"SELECT at_us, event_id % 1000 AS at_ns, client, domain, protocol FROM queries WHERE asked > {_AS_OF} - INTERVAL 604830 SECONDS",
     "distinct_clients": "SELECT DISTINCT client FROM tidy",
     "rate_limit_snapshot": f"SELECT epoch_us({_AS_OF}) AS at_us, client, target, n, protocol, kind AS reason, 'monitor' AS source, false AS permanent FROM rate_snap",
     "rate_limit_trailing": _detections("rate_trail", "rate-limit"),
