@@ -83,8 +83,8 @@ def test_list_files_resolve_and_fall_back(spark, tmp_path):
 def test_history_table_prunes_days(spark, tmp_path):
     path = str(tmp_path / "history")
     made = spark.createDataFrame([(100, "BAN", "c"), (90_000, "BAN", "d")], "timestamp_epoch long, action string, client_ip string")
-    tables.history_append(made, path)
-    tables.history_append(made.filter("client_ip = 'd'"), path)
+    tables.history_append(made, path, "r", 0)
+    tables.history_append(made.filter("client_ip = 'd'"), path, "r", 1)
     assert rows(tables.read_history(spark, path, 80_000, 100_000), "client_ip") == [("d",), ("d",)]
     plan = tables.read_history(spark, path, 80_000)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan

@@ -40,6 +40,10 @@ def whitelist(spark, *ips):
     return spark.createDataFrame([(ip, "external") for ip in ips], WHITELIST)
 
 
+def GOOD(spark):
+    return spark.createDataFrame([("list",)], "source_name string")
+
+
 def test_levels_and_durations(spark):
     past = offenses(spark, ("again", 1, NOW - 10), ("edge", 1, NOW - 1000), ("old", 2, NOW - 1001), ("top", 2, NOW), ("zero", 4, 0))
     hits = found(spark, *[(0, c) for c in ("new", "again", "edge", "old", "top", "zero")],
@@ -156,18 +160,18 @@ def test_emptied_copy_is_the_newest(spark):
 
 def test_blocklist_sync(spark):
     table = bans(spark, ban("listed", source="external-blocklist"), ban("dropped", source="external-blocklist"), ban("mine"))
-    step = ledger.blocklist_sync(table, whitelist(spark, "allowed"), addresses(spark, "listed", "new", "allowed", "mine"), P, NOW)
+    step = ledger.blocklist_sync(table, whitelist(spark, "allowed"), addresses(spark, "listed", "new", "allowed", "mine"), P, NOW, GOOD(spark))
     assert rows(step.history, "action", "client_ip", "count", "duration", "reason") == [
         ("BAN", "new", "-", "permanent", "external-blocklist"), ("UNBAN", "dropped", "-", "-", "external-blocklist-removed")]
     assert rows(step.active_bans, "client_ip") == [("listed",), ("mine",), ("new",)]
-    timed = ledger.blocklist_sync(table, whitelist(spark, "z"), addresses(spark, "new"), P.with_(blocklist_duration=60, blocklist_auto_unban=False), NOW)
+    timed = ledger.blocklist_sync(table, whitelist(spark, "z"), addresses(spark, "new"), P.with_(blocklist_duration=60, blocklist_auto_unban=False), NOW, GOOD(spark))
     assert rows(timed.opened, "client_ip", "ban_until_epoch", "is_permanent") == [("new", NOW + 60, False)]
     assert rows(timed.history, "action", "duration") == [("BAN", "60s")]
 
 
 def test_total_list_failure_lifts_nothing(spark):
     table = bans(spark, ban("listed", source="external-blocklist"))
-    step = ledger.blocklist_sync(table, whitelist(spark, "z"), addresses(spark, "x").filter("false"), P, NOW)
+    step = ledger.blocklist_sync(table, whitelist(spark, "z"), addresses(spark, "x").filter("false"), P, NOW, GOOD(spark).filter("false"))
     assert rows(step.history) == [] and rows(step.active_bans, "client_ip") == [("listed",)]
 
 
@@ -267,3 +271,46 @@ def test_replay_horizon_and_lag(spark):
     base = int((T0 - T0.replace(year=1970)).total_seconds())
     got = ledger.ledger_replay(df, P.with_(sweep_lag=10), horizon=base + 100)
     assert rows(got.select((F.col("timestamp_epoch") - base).alias("t"), "action")) == [(0, "BAN"), (100, "UNBAN"), (130, "BAN")]
+
+
+def random_hits(spark, seed, n=400, span=6000):
+    rng = random.Random(seed)
+    made = []
+    for t in sorted(rng.sample(range(span), n)):
+        permanent = rng.random() < 0.01
+        made.append((t, f"c{min(rng.randrange(9), 5)}", "x.com", rng.randrange(9), "rate-limit", rng.choice(["monitor"] * 4 + ["geoip"]), permanent))
+    return found(spark, *made)
+
+
+@pytest.mark.parametrize("lag,cuts", [(0, (2000,)), (7, (1500, 1501, 4000))])
+def test_steps_with_the_state_passed_on_equal_the_whole(spark, lag, cuts):
+    params = P.with_(sweep_lag=lag, progressive_max_level=5, progressive_reset_after=700)
+    hits = random_hits(spark, 5)
+    zero = hits.select(F.unix_seconds(F.lit(at(0)))).first()[0]
+    whole = ledger.replay_step(hits, bans(spark), offenses(spark), params, zero + 9000)
+    table, past, written, since = bans(spark), offenses(spark), [], -1
+    for cut in (*cuts, 9000):
+        part = hits.filter(F.unix_seconds("at").between(zero + since + 1, zero + cut))
+        step = ledger.replay_step(part, table, past, params, zero + cut)
+        written += rows(step.history)
+        # as written tables would come back
+        table = spark.createDataFrame(step.active_bans.collect(), step.active_bans.schema)
+        past, since = spark.createDataFrame(step.offenses.collect(), step.offenses.schema), cut
+    assert sorted(written) == rows(whole.history) and any(r[2] == "UNBAN" for r in written)
+    assert rows(table) == rows(whole.active_bans) and rows(past) == rows(whole.offenses)
+    fresh = ledger.ledger_replay(hits, params, zero + 9000).drop("offense_level")
+    assert rows(fresh, *whole.history.columns) == rows(whole.history)
+
+
+def test_dry_runs_ban_nobody(spark):
+    dry, hits = P.with_(dry_run=True), random_hits(spark, 6, n=20)
+    assert ledger.replay_bans(hits, dry).count() == 0
+    got = ledger.ledger_replay(hits, dry)
+    assert got.count() == 20 and {r.action for r in got.collect()} == {"DRY"}
+    step = ledger.replay_step(hits, bans(spark, ban("z")), offenses(spark, ("z", 1, 5)), dry, NOW * 2)
+    assert rows(step.active_bans, "client_ip") == [("z",)] and step.history.count() == 20 and step.offenses.count() == 1
+    orders = spark.createDataFrame([(1, "a", "ban"), (2, "a", "ban"), (3, "b", "unban"), (4, "b", "ban"), (5, "b", "ban"), (6, "c", "ban")], "seq int, target string, command string")
+    table = bans(spark, ban("b"), ban("c"))
+    assert rows(ledger.manual_actions(orders, table, whitelist(spark, "z"), NOW, dry), "action", "client_ip") == [
+        ("DRY", "a"), ("DRY", "a"), ("DRY", "b"), ("DRY", "b"), ("UNBAN", "b")]
+    assert rows(ledger.manual_ban_rows(orders, table, whitelist(spark, "z"), dry, NOW), "client_ip") == [("c",)]

@@ -62,16 +62,16 @@ def test_stream_ledger_equals_replay(spark, tmp_path):
             sink(part.unionByName(part), i)
     sink(spark.createDataFrame([(at(90_000), "end", "x.com", 9, "dns", "rate-limit", "monitor", False, "")], DETECTIONS), 4)
 
-    written = spark.read.parquet(found_path)
+    written = spark.read.option("recursiveFileLookup", True).parquet(found_path)
     assert written.filter("client = 'allowed'").count() == 0
-    source = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 1).parquet(found_path).withWatermark("at", "10 seconds")
+    source = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(found_path).withWatermark("at", "10 seconds")
     bans_path, history_path = str(tmp_path / "bans"), str(tmp_path / "history")
     run(live_ledger.stream_ledger(source, P), tmp_path, "ledger", live_ledger.ledger_sink(spark, bans_path, history_path, P))
 
     shown = ["timestamp_epoch", "action", "client_ip", "domain", "count", "duration", "reason"]
     want = rows(ledger.ledger_replay(spark.createDataFrame([h for h in hits if h[1] != "allowed"], DETECTIONS), P), *shown)
-    got = rows(spark.read.parquet(history_path).filter("client_ip <> 'end'"), *shown)
+    got = rows(tables.read_history(spark, history_path).filter("client_ip <> 'end'"), *shown)
     assert got == want and any(r[1] == "UNBAN" for r in got)
-    left = rows(tables.read_snapshot(spark, bans_path, ACTIVE_BANS), "client_ip", "is_permanent")
+    left = rows(tables.read_bans(spark, bans_path), "client_ip", "is_permanent")
     permanent = {r[2] for r in want if r[5] == "permanent"}
     assert left == sorted([(c, True) for c in permanent] + [("end", False)])

@@ -23,7 +23,7 @@ def bans_by_reason(bans: DataFrame, reason: str) -> DataFrame:
     return _with_defaults(bans.filter(F.col("reason") == reason))
 
 
-def active_bans_list(bans: DataFrame, newest: str = "created_at") -> DataFrame:
+def active_bans_list(bans: DataFrame, newest: str = "ban_time") -> DataFrame:
     """All bans, newest first; equal times by address."""
     return _with_defaults(bans).orderBy(F.desc(newest), "client_ip")
 

@@ -17,7 +17,7 @@ from tidewarden.functions.text import strip
 from tidewarden.functions.times import instant
 from tidewarden.operators.slices import SECOND, running_count, slice_seconds, slice_start
 from tidewarden.params import Params
-from tidewarden.sources.querylog import epoch_nanos
+from tidewarden.sources.querylog import nanos_since
 from tidewarden.sources.tables import prune_days
 
 RATE, FLOOD, WATCHLIST = "rate-limit", "subdomain-flood", "dns-flood-watchlist"
@@ -65,7 +65,7 @@ def rate_limit_snapshot(events: DataFrame, params: Params, as_of: datetime) -> D
     """
     per_protocol = in_window(events, params.rate_limit_window, as_of).groupBy(
         "client", "domain", "protocol").agg(
-        F.count("*").alias("n"), F.max(epoch_nanos(F.col("at"), F.col("at_ns"))).alias("last"))
+        F.count("*").alias("n"), F.max(nanos_since(F.col("at"), F.col("at_ns"), F.unix_micros(instant(as_of)))).alias("last"))
     hits = per_protocol.groupBy("client", "domain").agg(
         F.sum("n").alias("n"), F.max_by("protocol", F.struct("last", "protocol")).alias("protocol"),
     ).filter(F.col("n") > params.rate_limit_max_requests).withColumn("at", instant(as_of))
@@ -126,13 +126,13 @@ def rate_limit_ticks(events: DataFrame, params: Params) -> DataFrame:
     windows.
     """
     window, hop = params.rate_limit_window, params.check_interval
-    panes = events.groupBy(
-        "client", "domain", "protocol", _panes(F.unix_micros("at"), window, hop).alias("pane")
-    ).agg(F.count("*").alias("n"), F.max(epoch_nanos(F.col("at"), F.col("at_ns"))).alias("last"))
+    pane = _panes(F.unix_micros("at"), window, hop)
+    panes = events.groupBy("client", "domain", "protocol", pane.alias("pane")).agg(
+        F.count("*").alias("n"), F.max(nanos_since(F.col("at"), F.col("at_ns"), pane)).alias("in_pane"))
     # pane rows do not combine before they meet, so one exchange serves both aggregations; a
     # group holds one row per pane and protocol
-    windows = panes.withColumn("start", F.explode(_window_starts(F.col("pane"), window, hop))).repartition(
-        "client", "domain", "start")
+    windows = panes.withColumn("start", F.explode(_window_starts(F.col("pane"), window, hop))).withColumn(
+        "last", (F.col("pane") - F.col("start")) * 1000 + F.col("in_pane")).repartition("client", "domain", "start")
     hits = windows.groupBy("client", "domain", "protocol", "start").agg(
         F.sum("n").alias("n"), F.max("last").alias("last")
     ).groupBy("client", "domain", "start").agg(

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewarden.functions.addresses import parse_address
 from tidewarden.functions.text import MAX_DURATION, duration_for_level, duration_text, epoch_text
-from tidewarden.operators.bans import expired_bans
 from tidewarden.operators.detect import detection_order, first_detection_per_client
 from tidewarden.operators.geo import geo_auto_unban
 from tidewarden.operators.membership import (
@@ -86,7 +85,7 @@ def ban_rows(detections: DataFrame, offenses: DataFrame, params: Params, now: in
     until = F.when(~F.col("is_permanent") & (F.col("ban_duration") > 0), F.lit(now) + F.col("ban_duration")).otherwise(F.lit(0))
     country = F.col("country") if "country" in detections.columns else F.lit("")
     return timed.select(
-        F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").cast("int").alias("count"),
+        F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").cast("long").alias("count"),
         epoch_text(F.lit(now)).alias("ban_time"), until.cast("long").alias("ban_until_epoch"), "ban_duration",
         "offense_level", "is_permanent", "reason", "protocol", "source",
         F.coalesce(country, F.lit("")).alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"))
@@ -146,8 +145,15 @@ def lift(bans: DataFrame, chosen: DataFrame, reason: str, now: int) -> Step:
     return Step(rest, unban_rows(chosen, reason, now), lifted=chosen)
 
 
+def lift_where(bans: DataFrame, condition: Column, reason: str, now: int) -> Step:
+    """As :func:`lift`, for bans that a condition on their own row picks: nothing is joined."""
+    picked = F.coalesce(condition, F.lit(False))
+    chosen = bans.filter(picked)
+    return Step(bans.filter(~picked), unban_rows(chosen, reason, now), lifted=chosen)
+
+
 def expire_bans(bans: DataFrame, now: int) -> Step:
-    return lift(bans, expired_bans(bans, now), "expired", now)
+    return lift_where(bans, (F.col("ban_until_epoch") > 0) & ~F.col("is_permanent") & (F.col("ban_until_epoch") <= now), "expired", now)
 
 
 def lift_geo_bans(bans: DataFrame, params: Params, now: int) -> Step:
@@ -157,11 +163,11 @@ def lift_geo_bans(bans: DataFrame, params: Params, now: int) -> Step:
 def flush_bans(bans: DataFrame, now: int, source: str | None = None) -> Step:
     """Lift every ban, or those of one source. Country bans also count by reason."""
     if source is None:
-        return lift(bans, bans, "manual-flush", now)
-    wanted = F.col("source") == source
+        return lift_where(bans, F.lit(True), "manual-flush", now)
+    wanted = F.coalesce(F.col("source") == source, F.lit(False))
     if source == "geoip":
         wanted = wanted | (F.col("reason") == source)
-    return lift(bans, bans.filter(wanted), f"{source}-flush", now)
+    return lift_where(bans, wanted, f"{source}-flush", now)
 
 
 # -- list synchronisation -------------------------------------------------------------------
@@ -179,7 +185,7 @@ def blocklist_bans(addresses: DataFrame, params: Params, now: int) -> DataFrame:
     permanent = params.blocklist_duration == 0
     until = 0 if permanent or params.blocklist_duration < 0 else now + params.blocklist_duration
     return addresses.select(
-        F.col("address").alias("client_ip"), F.lit("-").alias("domain"), F.lit(0).alias("count"),
+        F.col("address").alias("client_ip"), F.lit("-").alias("domain"), F.lit(0).cast("long").alias("count"),
         epoch_text(F.lit(now)).alias("ban_time"), F.lit(until).cast("long").alias("ban_until_epoch"),
         F.lit(params.blocklist_duration).cast("long").alias("ban_duration"), F.lit(0).alias("offense_level"),
         F.lit(permanent).alias("is_permanent"), F.lit(BLOCKLIST).alias("reason"), F.lit("-").alias("protocol"),
@@ -187,14 +193,12 @@ def blocklist_bans(addresses: DataFrame, params: Params, now: int) -> DataFrame:
 
 
 def blocklist_sync(bans: DataFrame, whitelist: DataFrame, desired: DataFrame, params: Params, now: int,
-                   good: DataFrame | None = None) -> Step:
+                   good: DataFrame) -> Step:
     """Ban what the lists name, lift what they no longer name.
 
     ``good`` has a row for every source with a usable copy. Without any, bans stay, where lifting
     all of them would open the door on a mere download failure; a good copy that became empty lifts.
-    When ``good`` is not given, an empty ``desired`` counts as no usable copy.
     """
-    good = desired if good is None else good
     if params.dry_run:
         listed = whitelist_exclude(static_whitelist(desired, params, "address"), whitelist, "address")
         dry = _history(listed.withColumnRenamed("address", "client_ip"), F.lit(now), F.lit("DRY"),
@@ -227,15 +231,18 @@ def manual_actions(commands: DataFrame, bans: DataFrame, whitelist: DataFrame, n
     """History rows of ``ban`` and ``unban`` commands (``seq, target, command``), in order.
 
     A ban needs a client that is neither allowed nor banned at that point, where earlier
-    commands count; an unban always leaves its row.
+    commands count; an unban always leaves its row. A dry run bans nobody, so its bans do not count.
     """
     orders = commands.filter("command IN ('ban', 'unban')").withColumnRenamed("target", "client_ip")
     allowed = whitelist.select(F.col("ip_address").alias("client_ip"), F.lit(True).alias("allowed")).distinct()
     present = bans.select("client_ip", F.lit(True).alias("present")).distinct()
     allowed_here = F.coalesce("allowed", F.lit(False)) | F.col("client_ip").isin(*params.whitelist)
-    before = F.lag("command").over(Window.partitionBy("client_ip").orderBy("seq"))
+    counts = F.when((F.col("command") == "unban") | F.lit(not params.dry_run), F.col("command"))
+    before = F.last(counts, ignorenulls=True).over(
+        Window.partitionBy("client_ip").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     judged = orders.join(allowed, "client_ip", "left").join(present, "client_ip", "left").withColumn(
-        "banned", F.when(before == "ban", F.lit(True)).when(before == "unban", F.lit(False)).otherwise(
+        "banned", F.when(before == "unban", F.lit(False)).when(
+            (before == "ban") & F.lit(not params.dry_run), F.lit(True)).otherwise(
             F.coalesce("present", F.lit(False)))).withColumn("allowed", allowed_here)
     done = judged.filter("command = 'unban' OR NOT (allowed OR banned)")
     is_ban = F.col("command") == "ban"
@@ -249,7 +256,7 @@ def manual_actions(commands: DataFrame, bans: DataFrame, whitelist: DataFrame, n
 
 
 def manual_ban_rows(commands: DataFrame, bans: DataFrame, whitelist: DataFrame, params: Params, now: int) -> DataFrame:
-    """The ban table after the commands: the last one of a client decides."""
+    """The ban table after the commands: the last one of a client decides. A dry run opens no ban."""
     last = commands.filter("command IN ('ban', 'unban')").groupBy("target").agg(
         F.max_by("command", "seq").alias("command"), F.bool_or(F.col("command") == "unban").alias("lifted"))
     banned = last.filter("command = 'ban'").select(F.col("target").alias("client"))
@@ -259,6 +266,8 @@ def manual_ban_rows(commands: DataFrame, bans: DataFrame, whitelist: DataFrame,
     orders = not_already_banned(allowed, rest).select(
         F.timestamp_seconds(F.lit(now)).alias("at"), "client", F.lit("manual").alias("target"), F.lit(0).cast("long").alias("n"),
         F.lit("-").alias("protocol"), F.lit("manual").alias("reason"), F.lit("manual").alias("source"), F.lit(True).alias("permanent"))
+    if params.dry_run:
+        return rest
     none = bans.select("client_ip", F.lit(0).alias("offense_level"), F.lit(0).cast("long").alias("last_offense_epoch")).filter("false")
     return rest.unionByName(ban_rows(orders, none, params, now), allowMissingColumns=True)
 
@@ -290,6 +299,8 @@ def enforcement_set(bans: DataFrame, now: int) -> DataFrame:
 
 # -- whole history --------------------------------------------------------------------------
 
+#: of a client that is never free again, and of one that always is
+_NEVER, _ALWAYS = 2 ** 62, -2 ** 62
 _FOLDED = ("client string, at_epoch long, target string, n long, protocol string, reason string, source string, "
            "offense_level int, ban_duration long, ban_until_epoch long, is_permanent boolean")
 
@@ -298,7 +309,8 @@ def _fold(params: Params):
     """Walk time-ordered detections of whole clients and keep those that open a ban.
 
     Batches arrive sorted by client and time, a client may span several of them, and only
-    the present client's state is held. Within a batch the walk jumps from ban to ban.
+    the present client's state is held. Within a batch the walk jumps from ban to ban. A row with
+    ``resumed`` set holds what is known of a client beforehand and comes before its detections.
     """
     base, growth, lag = params.ban_duration, max(params.progressive_multiplier, 1), params.sweep_lag
     climb, top, reset_after = params.progressive_enabled, params.progressive_max_level, params.progressive_reset_after
@@ -312,12 +324,16 @@ def _fold(params: Params):
             names = batch["client"].to_numpy()
             permanent = batch["permanent"].to_numpy()
             climbing = (batch["source"].to_numpy() == "monitor") & ~permanent & climb
+            resumed = batch["resumed"].to_numpy() if "resumed" in batch else np.zeros(len(batch), bool)
             edges = np.flatnonzero(names[1:] != names[:-1]) + 1
             opened = []
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(names)]):
                 if names[lo] != holder:
                     holder, level, last, eligible = names[lo], 0, 0, seconds[lo]
                 i = int(lo)
+                if resumed[i]:
+                    level, last, free_at = (int(batch[c].iat[i]) for c in ("level", "last", "free_at"))
+                    eligible, i = None if free_at == _NEVER else free_at, i + 1
                 while eligible is not None:
                     i += int(np.searchsorted(seconds[i:hi], eligible))
                     if i >= hi:
@@ -342,25 +358,87 @@ def _fold(params: Params):
     return walk
 
 
-def replay_bans(detections: DataFrame, params: Params) -> DataFrame:
-    """Every ban a history of detections leads to, starting from an empty ledger.
+def replay_bans(detections: DataFrame, params: Params, bans: DataFrame | None = None,
+                offenses: DataFrame | None = None) -> DataFrame:
+    """Every ban a history of detections leads to, from the given state or an empty ledger. A dry run has none.
 
     The ledger counts in seconds, so of all detections of a client within one second only
     the first can matter. Keeping just that one is a partial aggregation: a client that
-    fills a third of the log still brings at most one row per second into the fold.
+    fills a third of the log still brings at most one row per second into the fold. Bans and offences
+    go in as one more row per client that has both detections and a past.
     """
     rest = ["target", "n", "protocol", "reason", "source", "permanent"]
+    if params.dry_run:
+        detections = detections.filter("false")
     per_second = detections.groupBy("client", F.unix_seconds("at").alias("at_epoch")).agg(
-        F.min_by(F.struct(*rest), F.struct(F.col("at"), detection_order())).alias("d"))
-    ordered = per_second.select("client", "at_epoch", "d.*").repartition("client").sortWithinPartitions("client", "at_epoch")
+        F.min_by(F.struct(*rest), F.struct(F.col("at"), detection_order())).alias("d")).select("client", "at_epoch", "d.*")
+    order = ["client", "at_epoch"]
+    if bans is not None or offenses is not None:
+        past = _past(detections, bans, offenses, params)
+        per_second = per_second.withColumn("resumed", F.lit(False)).unionByName(past, allowMissingColumns=True).fillna(
+            {"permanent": False, "level": 0, "last": 0, "free_at": _ALWAYS, "n": 0})
+        order = ["client", F.desc("resumed"), "at_epoch"]
+    ordered = per_second.repartition("client").sortWithinPartitions(*order)
     return ordered.mapInPandas(_fold(params), _FOLDED)
 
 
+def _past(detections: DataFrame, bans: DataFrame | None, offenses: DataFrame | None, params: Params) -> DataFrame:
+    """(client, level, last, free_at): the offence and the second from which a client can be banned again."""
+    known = None
+    if bans is not None:
+        ends = ~F.col("is_permanent") & (F.col("ban_until_epoch") > 0)
+        known = bans.select(F.col("client_ip").alias("client"), F.when(ends, F.col("ban_until_epoch") + params.sweep_lag).otherwise(
+            F.lit(_NEVER)).alias("free_at"))
+    if offenses is not None:
+        raised = offenses.select(F.col("client_ip").alias("client"), F.col("offense_level").cast("long").alias("level"),
+                                 F.coalesce("last_offense_epoch", F.lit(0)).alias("last"))
+        known = raised if known is None else known.join(raised, "client", "full")
+    for name in sorted({"level", "last", "free_at"} - set(known.columns)):
+        known = known.withColumn(name, F.lit(_ALWAYS if name == "free_at" else 0).cast("long"))
+    concerned = known.join(detections.select("client"), "client", "left_semi")
+    return concerned.select("client", F.lit(0).cast("long").alias("at_epoch"), F.lit(True).alias("resumed"),
+                            "level", "last", "free_at")
+
+
+def replay_step(detections: DataFrame, bans: DataFrame, offenses: DataFrame, params: Params, until: int) -> Step:
+    """The tables after all detections up to second ``until``; the next step starts from them.
+
+    Bans that end by then are lifted. Steps one after the other give what one step over
+    all of the time gives. Detections are of clients that are not allowed.
+    """
+    detections = detections.filter(F.unix_seconds("at") <= until)
+    opened = replay_bans(detections, params, bans, offenses)
+    start = F.col("at_epoch")
+    fresh = opened.select(
+        F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").alias("count"), epoch_text(start).alias("ban_time"),
+        "ban_until_epoch", "ban_duration", "offense_level", "is_permanent", "reason", "protocol", "source",
+        F.lit("").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"))
+    both = bans.unionByName(fresh, allowMissingColumns=True)
+    over = F.coalesce(~F.col("is_permanent") & (F.col("ban_until_epoch") > 0) & (F.col("ban_until_epoch") <= until), F.lit(False))
+    ended = both.filter(over)
+    written = _history(opened.withColumnRenamed("client", "client_ip").withColumnRenamed("target", "domain"), start, F.lit("BAN"),
+                       domain=F.col("domain"), count=F.col("n"), duration=duration_text(F.col("ban_duration"), F.col("is_permanent")),
+                       protocol=F.col("protocol"), reason=F.col("reason"))
+    if params.dry_run:
+        written = dry_run_history(detections, F.unix_seconds("at"))
+    lifted = _history(ended, F.col("ban_until_epoch"), F.lit("UNBAN"), reason=F.lit("expired"))
+    climbed = opened.filter("offense_level > 0").groupBy(F.col("client").alias("client_ip")).agg(
+        F.max_by("offense_level", "at_epoch").alias("offense_level"), F.max("at_epoch").alias("last_offense_epoch"),
+        F.max(F.when(F.col("offense_level") == 1, F.col("at_epoch"))).alias("began"))
+    old = offenses.select("client_ip", (F.col("first_offense") if "first_offense" in offenses.columns else F.lit("")).alias("old_first"))
+    raised = climbed.join(old, "client_ip", "left").select(
+        "client_ip", "offense_level", "last_offense_epoch", epoch_text(F.col("last_offense_epoch")).alias("last_offense"),
+        F.coalesce(epoch_text(F.col("began")), "old_first", F.lit("")).alias("first_offense"))
+    return Step(both.filter(~over), written.unionByName(lifted), upsert(offenses, raised, ["client_ip"]), opened=fresh, lifted=ended)
+
+
 def ledger_replay(detections: DataFrame, params: Params, horizon: int | None = None) -> DataFrame:
     """BAN rows of :func:`replay_bans` and the UNBAN rows of those that ran out.
 
-    With ``horizon`` only bans that end by then are lifted.
+    With ``horizon`` only bans that end by then are lifted. A dry run gives a DRY row per detection.
     """
+    if params.dry_run:
+        return dry_run_history(detections, F.unix_seconds("at")).withColumn("offense_level", F.lit(0))
     bans = replay_bans(detections, params)
     ends = ~F.col("is_permanent") & (F.col("ban_until_epoch") > 0)
     if horizon is not None:

@@ -52,7 +52,7 @@ def live_recent_queries(events: DataFrame, limit: int = 12) -> DataFrame:
         clip(F.col("domain"), 44).alias("domain"))
 
 
-def live_active_bans(bans: DataFrame, limit: int = 10, newest: str = "created_at") -> DataFrame:
+def live_active_bans(bans: DataFrame, limit: int = 10, newest: str = "ban_time") -> DataFrame:
     """Newest bans with the number of those not shown."""
     total = bans.agg(F.count("*")).scalar()
     return active_bans_list(bans, newest).limit(limit).select(

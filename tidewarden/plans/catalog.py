@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewarden.operators import bans, detect, geo, ledger, live, membership, outbox, report
-from tidewarden.plans.fixtures import AS_OF, AS_OF_EPOCH, DEMO, NOW, REPORT_AS_OF, Tables
+from tidewarden.plans.fixtures import AS_OF, AS_OF_EPOCH, DAY, DEMO, NOW, REPORT_AS_OF, Tables
+from tidewarden.schemas import ACTIVE_BANS, OFFENSES
 from tidewarden.session import prepare
 from tidewarden.sources import lists, logs, querylog, tables
 
@@ -22,6 +25,8 @@ GEO_ALLOW = GEO.with_(geoip_mode="allowlist")
 GEO_DB_MTIME = 123
 ALERTS = DEMO.with_(host_name="dns1", abuse_enabled=True, geoip_notify=True, blocklist_notify=False)
 REPORT_SINCE, REPORT_UNTIL, _ = report.report_window(DEMO.report_interval, REPORT_AS_OF)
+#: after the last query of the test log
+LOG_END = AS_OF_EPOCH + 40 * DAY
 LOG_SINCE, LOG_UNTIL, _ = report.report_window(DEMO.report_interval, AS_OF)
 
 
@@ -306,8 +311,74 @@ def ledger_replay(t: Tables) -> DataFrame:
 @query
 def ledger_replay_watched(t: Tables) -> DataFrame:
     """Both detectors, the watch list and the allow list, lifted up to the evaluation time."""
-    found = membership.whitelist_exclude(detect.detections_over_time(t.queries(), WATCHED), t.whitelist())
-    return ledger.ledger_replay(found, WATCHED, AS_OF_EPOCH)
+    return ledger.ledger_replay(_watched_hits(t), WATCHED, AS_OF_EPOCH)
+
+
+def _shared_folder(t: Tables) -> str:
+    """A new folder in the shared one of ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tables-')}/{uuid.uuid4().hex}"
+
+
+def _watched_hits(t: Tables) -> DataFrame:
+    return membership.whitelist_exclude(detect.detections_over_time(t.queries(), WATCHED), t.whitelist())
+
+
+@query
+def ledger_replay_steps(t: Tables) -> DataFrame:
+    """As ``ledger_replay_watched``, in two steps: the second starts from the tables that the first has written."""
+    found, folder = _watched_hits(t), _shared_folder(t)
+    none = [t.spark.createDataFrame([], s) for s in (ACTIVE_BANS, OFFENSES)]
+    first = ledger.replay_step(found, *none, WATCHED, AS_OF_EPOCH - 5 * DAY)
+    tables.write_snapshot(first.active_bans, f"{folder}/bans")
+    tables.write_snapshot(first.offenses, f"{folder}/offenses")
+    later = found.filter(F.unix_seconds("at") > AS_OF_EPOCH - 5 * DAY)
+    second = ledger.replay_step(later, tables.read_snapshot(t.spark, f"{folder}/bans", ACTIVE_BANS),
+                                tables.read_snapshot(t.spark, f"{folder}/offenses", OFFENSES), WATCHED, LOG_END)
+    return first.history.unionByName(second.history)
+
+
+@query
+def ledger_replay_dry_run(t: Tables) -> DataFrame:
+    return ledger.ledger_replay(_watched_hits(t), WATCHED.with_(dry_run=True)).drop("offense_level")
+
+
+@query
+def history_append(t: Tables) -> DataFrame:
+    """From detections to the report's recent events: replayed, appended twice as one batch, and read back by day."""
+    path = f"{_shared_folder(t)}/history"
+    written = ledger.ledger_replay(_watched_hits(t), WATCHED, AS_OF_EPOCH).drop("offense_level")
+    for _ in range(2):
+        tables.history_append(written, path, "replay", 0)
+    recent = tables.read_history(t.spark, path, AS_OF_EPOCH - 7 * DAY, AS_OF_EPOCH)
+    return report.report_recent_events(recent, 50).drop("id", "day")
+
+
+@query
+def ban_changes(t: Tables) -> DataFrame:
+    """The ban table folded from the change logs of two writers, with a repeated batch and a compaction in between."""
+    path = f"{_shared_folder(t)}/bans"
+    orders, no = t.ban_history(), F.col("id")
+    at = F.col("timestamp_epoch") * 10_000_000 + no
+    for batch in (0, 1, 1):
+        for run in ("lists", "monitor"):
+            mine = (no % 2 == int(run == "monitor")) & (no % 3 == 0 if batch else no % 3 > 0)
+            rows = orders.filter(mine).withColumn("second", at)
+            tables.change_bans(t.spark, path, run, batch, rows.filter("action <> 'UNBAN'").withColumn("ban_until_epoch", F.col("timestamp_epoch")),
+                               rows.filter("action = 'UNBAN'"), F.col("second"), F.col("second"))
+        if batch == 0:
+            tables.compact_bans(t.spark, path)
+    return tables.read_bans(t.spark, path).select("client_ip", "domain", "count", "ban_until_epoch", "reason", "protocol")
+
+
+@query
+def whitelist_flush(t: Tables) -> DataFrame:
+    return ledger.whitelist_flush(t.whitelist())
+
+
+@query
+def manual_actions_dry_run(t: Tables) -> DataFrame:
+    in_force = ledger.expire_bans(t.active_bans(), NOW).active_bans
+    return ledger.manual_actions(t.commands(), in_force, t.whitelist(), NOW, DEMO.with_(dry_run=True))
 
 
 @query

@@ -313,6 +313,10 @@ _BAN_MESSAGE = _bits(
     "''", f"'AbuseIPDB: ' || {_URL}")
 _FREE_MESSAGE = _bits("'✅ DNS Guard Freigabe auf dns1'", "'---'", "'IP: ' || client_ip", "'Hostname: (unbekannt)'", "''", f"'AbuseIPDB: ' || {_URL}")
 _GEO_BAN = "(reason = 'geoip' OR source = 'geoip')"
+_WATCHED_HITS = """SELECT at_us, client, target, n, protocol, CASE WHEN w THEN 'dns-flood-watchlist' ELSE kind END AS reason, w AS permanent FROM (
+          SELECT *, 'rate-limit' AS kind, target = 'example.org' OR target LIKE '%.example.org' AS w FROM rate_trail
+          UNION ALL SELECT *, 'subdomain-flood', target = '*.example.org' OR target LIKE '*.%.example.org' FROM flood_trail)
+        WHERE client NOT IN (SELECT ip_address FROM whitelist)"""
 _ALLOWED_OR_BANNED = "target IN (SELECT ip_address FROM whitelist) OR target IN (SELECT client_ip FROM in_force)"
 
 
@@ -405,6 +409,16 @@ FINAL = {
       CASE WHEN target = 'example.org' OR target LIKE '%.example.org' THEN 'dry-run (dns-flood-watchlist)' ELSE 'dry-run (rate-limit)' END AS reason
       FROM rate_tick WHERE client NOT IN (SELECT ip_address FROM whitelist) AND client NOT IN (SELECT client_ip FROM client_bans)""",
     "expire_bans": _event("expired", "UNBAN", "'expired'"),
+    "ledger_replay_dry_run": f"""SELECT at_us // 1000000 AS timestamp_epoch, {_WHEN.format('at_us // 1000000')} AS timestamp_text, 'DRY' AS action,
+      client AS client_ip, target AS domain, CAST(n AS STRING) AS "count", 'dry-run' AS duration, protocol, 'dry-run (' || reason || ')' AS reason
+      FROM ({_WATCHED_HITS})""",
+    "ban_changes": """SELECT client_ip, domain, "count", until AS ban_until_epoch, reason, protocol FROM (
+      SELECT client_ip, arg_max({'d': domain, 'c': CAST("count" AS BIGINT), 'u': timestamp_epoch, 'r': reason, 'p': protocol, 'a': action}, timestamp_epoch * 10000000 + id) AS x,
+        x.d AS domain, x.c AS "count", x.u AS until, x.r AS reason, x.p AS protocol, x.a AS action FROM ban_history GROUP BY client_ip) WHERE action <> 'UNBAN'""",
+    "whitelist_flush": "SELECT * FROM whitelist WHERE source <> 'external'",
+    "manual_actions_dry_run": _event(f"(SELECT target AS client_ip FROM commands WHERE command = 'ban' AND NOT ({_ALLOWED_OR_BANNED}))", "DRY", "'dry-run (manual)'",
+                             domain="'manual'", count="'0'", duration="'dry-run'") + " UNION ALL " + _event(
+        "(SELECT target AS client_ip FROM commands WHERE command = 'unban')", "UNBAN", "'manual'"),
     "unban_rows": _event("active_bans", "UNBAN", "reason || '-flush'"),
     "flush_bans": _event(f"(SELECT * FROM active_bans WHERE {_GEO_BAN})", "UNBAN", "'geoip-flush'"),
     "enforcement_set": f"""SELECT CAST(4 AS BIGINT) AS family, client_ip, CASE WHEN is_permanent OR ban_until_epoch = 0 THEN 0 ELSE ban_until_epoch - {NOW} END AS timeout
@@ -470,14 +484,19 @@ FINAL = {
       || ' in 604800s. Banned by DNS Guard 🔗 https://example.invalid/dns-guard' AS comment FROM active_bans WHERE source = 'monitor' AND is_permanent""",
 }
 
+def _history_replay(horizon: int) -> str:
+    """History rows alone, without the level."""
+    return _replay(_WATCHED_HITS, f"AND fin <= {horizon}").replace("shown AS offense_level, ", "").replace("SELECT client, shown, fin,", "SELECT client, fin,")
+
+
 # Replays end in further common table expressions.
 REPLAYS = {
     "ledger_replay": _replay("SELECT at_us, client, target, n, protocol, 'rate-limit' AS reason, false AS permanent FROM rate_trail", ""),
-    "ledger_replay_watched": _replay(
-        """SELECT at_us, client, target, n, protocol, CASE WHEN w THEN 'dns-flood-watchlist' ELSE kind END AS reason, w AS permanent FROM (
-          SELECT *, 'rate-limit' AS kind, target = 'example.org' OR target LIKE '%.example.org' AS w FROM rate_trail
-          UNION ALL SELECT *, 'subdomain-flood', target = '*.example.org' OR target LIKE '*.%.example.org' FROM flood_trail)
-        WHERE client NOT IN (SELECT ip_address FROM whitelist)""", f"AND fin <= {AS_OF_EPOCH}"),
+    "ledger_replay_watched": _replay(_WATCHED_HITS, f"AND fin <= {AS_OF_EPOCH}"),
+    "ledger_replay_steps": _history_replay(AS_OF_EPOCH + 40 * 86400),
+    # all of the history within a week, newest first
+    "history_append": _history_replay(AS_OF_EPOCH).replace("reason FROM chain", f"reason FROM chain WHERE at_s BETWEEN {AS_OF_EPOCH - 7 * 86400} AND {AS_OF_EPOCH}")
+        + f" AND fin >= {AS_OF_EPOCH - 7 * 86400} ORDER BY timestamp_epoch DESC, client_ip DESC, action DESC LIMIT 50",
 }
 
 

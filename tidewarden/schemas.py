@@ -38,7 +38,7 @@ DETECTIONS = T.StructType([
 ACTIVE_BANS = T.StructType([
     T.StructField("client_ip", T.StringType()),
     T.StructField("domain", T.StringType()),
-    T.StructField("count", T.IntegerType()),
+    T.StructField("count", T.LongType()),
     T.StructField("ban_time", T.StringType()),
     T.StructField("ban_until_epoch", T.LongType()),
     T.StructField("ban_duration", T.LongType()),

@@ -35,9 +35,9 @@ def stream_query_lines(spark: SparkSession, path: str, files_per_trigger: int |
     return reader.json(path)
 
 
-def epoch_nanos(at: Column, at_ns: Column) -> Column:
-    """Total order of events: microseconds and the part Spark timestamps cannot hold."""
-    return F.unix_micros(at) * 1000 + at_ns
+def nanos_since(at: Column, at_ns: Column, start_us: Column) -> Column:
+    """Nanoseconds from a start to an event, with the part Spark timestamps cannot hold; no far time overflows near its start."""
+    return (F.unix_micros(at) - start_us) * 1000 + at_ns
 
 
 def _fraction_tail(time: Column) -> Column:

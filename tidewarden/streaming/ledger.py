@@ -14,8 +14,8 @@ from tidewarden.functions.text import MAX_DURATION, epoch_text
 from tidewarden.operators.detect import detection_order
 from tidewarden.operators.membership import static_whitelist, whitelist_exclude
 from tidewarden.params import Params
-from tidewarden.schemas import ACTIVE_BANS, WHITELIST
-from tidewarden.sources.tables import history_batch, read_snapshot, upsert, write_snapshot
+from tidewarden.schemas import WHITELIST
+from tidewarden.sources.tables import change_bans, history_append, read_snapshot
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,6 +30,7 @@ _STATE = T.StructType([
 def _ledger_processor(params: Params) -> StatefulProcessor:
     base, growth, lag = params.ban_duration, max(params.progressive_multiplier, 1), params.sweep_lag
     climb, top, reset_after = params.progressive_enabled, params.progressive_max_level, params.progressive_reset_after
+    dry = params.dry_run
     columns = [part.split()[0] for part in EVENTS.split(", ")]
     clamp = MAX_DURATION
 
@@ -50,6 +51,10 @@ def _ledger_processor(params: Params) -> StatefulProcessor:
             out = []
             found = pd.concat(list(rows)).sort_values("at_epoch")
             for row in found.itertuples(index=False):
+                if dry:  # nothing marks the client
+                    out.append([client, stamp(row.at_epoch), "DRY", row.target, row.n, row.protocol,
+                                f"dry-run ({row.reason})", row.source, 0, 0, 0, False])
+                    continue
                 if banned and (until == 0 or row.at_epoch < until + lag):
                     continue
                 if banned:
@@ -65,6 +70,9 @@ def _ledger_processor(params: Params) -> StatefulProcessor:
                 banned, until = True, 0 if forever or length <= 0 else int(row.at_epoch) + length
                 out.append([client, stamp(row.at_epoch), "BAN", row.target, row.n, row.protocol, row.reason,
                             row.source, shown, length, until, forever])
+            if dry:
+                yield pd.DataFrame(out, columns=columns)
+                return
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if banned and until:
@@ -118,16 +126,21 @@ def deciding_detections(found: DataFrame, whitelist: DataFrame, params: Params)
         F.min_by(F.struct(*rest), F.struct(F.col("at"), detection_order())).alias("d")).select("client", "d.*")
 
 
+def run_name(spark: SparkSession) -> str:
+    """The running stream's id, which its checkpoint keeps; a fresh checkpoint brings another one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
 def detections_sink(spark: SparkSession, path: str, whitelist_path: str, params: Params):
     """``foreachBatch`` function for a stream of detections.
 
     The allow list is read again for every batch, so changes to it count at once. A
-    repeated batch replaces its own files.
+    repeated batch replaces its own files, those of its run.
     """
 
     def write(found: DataFrame, batch_id: int) -> None:
         allowed = read_snapshot(spark, whitelist_path, WHITELIST)
-        deciding_detections(found, allowed, params).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        deciding_detections(found, allowed, params).write.mode("overwrite").parquet(f"{path}/run={run_name(found.sparkSession)}/batch={batch_id}")
 
     return write
 
@@ -135,9 +148,9 @@ def detections_sink(spark: SparkSession, path: str, whitelist_path: str, params:
 def history_rows(events: DataFrame) -> DataFrame:
     """History table rows of ledger events."""
     epoch = F.unix_seconds("at")
-    ban = F.col("action") == "BAN"
+    ban, dry = F.col("action").isin("BAN", "DRY"), F.col("action") == "DRY"
     dash = F.lit("-")
-    lasting = F.when(F.col("is_permanent") | (F.col("ban_duration") == 0), F.lit("permanent")).otherwise(
+    lasting = F.when(dry, F.lit("dry-run")).when(F.col("is_permanent") | (F.col("ban_duration") == 0), F.lit("permanent")).otherwise(
         F.concat(F.col("ban_duration").cast("string"), F.lit("s")))
     return events.select(
         epoch.alias("timestamp_epoch"), epoch_text(epoch).alias("timestamp_text"), "action",
@@ -147,26 +160,28 @@ def history_rows(events: DataFrame) -> DataFrame:
 
 
 def ledger_sink(spark: SparkSession, bans_path: str, history_path: str, params: Params):
-    """``foreachBatch`` function that writes history and a new ban snapshot per batch.
+    """``foreachBatch`` function that appends history and changes of the shared ban table.
 
-    Both are named by the batch, and a snapshot is built from the one before its batch, so
-    a repeated batch writes the same files again.
+    Both are logs that count every (run, batch) once: a repeated batch, another writer and a stream that starts
+    over with a fresh checkpoint neither lose nor repeat a row. A batch writes what it changes, not the table.
+    A dry run leaves history only.
     """
 
     def write(events: DataFrame, batch_id: int) -> None:
+        run = run_name(events.sparkSession)
         events = events.persist()
-        history_batch(history_rows(events), history_path, batch_id)
-        latest = events.groupBy("client").agg(F.max_by(F.struct(
-            "action", "target", "n", "at", "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
-            "reason", "protocol", "source"), F.struct("at", F.col("action") == "BAN")).alias("e")).select("client", "e.*")
-        now = F.unix_seconds("at")
-        opened = latest.filter("action = 'BAN'").select(
-            F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").cast("int").alias("count"),
-            epoch_text(now).alias("ban_time"), "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
-            "reason", "protocol", "source", F.lit("").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"))
-        current = read_snapshot(spark, bans_path, ACTIVE_BANS, before=batch_id)
-        lifted = latest.filter("action = 'UNBAN'").select(F.col("client").alias("client_ip"))
-        write_snapshot(upsert(current.join(lifted, "client_ip", "left_anti"), opened, ["client_ip"]), bans_path, batch_id)
+        history_append(history_rows(events), history_path, run, batch_id)
+        if not params.dry_run:
+            latest = events.groupBy("client").agg(F.max_by(F.struct(
+                "action", "target", "n", "at", "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
+                "reason", "protocol", "source"), F.struct("at", F.col("action") == "BAN")).alias("e")).select("client", "e.*")
+            now = F.unix_seconds("at")
+            opened = latest.filter("action = 'BAN'").select(
+                F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").cast("long").alias("count"),
+                epoch_text(now).alias("ban_time"), "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
+                "reason", "protocol", "source", F.lit("").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"), now.alias("second"))
+            lifted = latest.filter("action = 'UNBAN'").select(F.col("client").alias("client_ip"), now.alias("second"))
+            change_bans(spark, bans_path, run, batch_id, opened, lifted, F.col("second"), F.col("second"))
         events.unpersist()
 
     return write
