@@ -413,8 +413,8 @@ FINAL = {
       client AS client_ip, target AS domain, CAST(n AS STRING) AS "count", 'dry-run' AS duration, protocol, 'dry-run (' || reason || ')' AS reason
       FROM ({_WATCHED_HITS})""",
     "ban_changes": """SELECT client_ip, domain, "count", until AS ban_until_epoch, reason, protocol FROM (
-      SELECT client_ip, arg_max({'d': domain, 'c': CAST("count" AS BIGINT), 'u': timestamp_epoch, 'r': reason, 'p': protocol, 'a': action}, timestamp_epoch * 10000000 + id) AS x,
-        x.d AS domain, x.c AS "count", x.u AS until, x.r AS reason, x.p AS protocol, x.a AS action FROM ban_history GROUP BY client_ip) WHERE action <> 'UNBAN'""",
+      SELECT client_ip, x.d AS domain, x.c AS "count", x.u AS until, x.r AS reason, x.p AS protocol, x.a AS action FROM (SELECT client_ip, arg_max({'d': domain, 'c': CAST("count" AS BIGINT), 'u': timestamp_epoch, 'r': reason, 'p': protocol, 'a': action}, timestamp_epoch * 10000000 + id) AS x
+        FROM ban_history GROUP BY client_ip)) WHERE action <> 'UNBAN'""",
     "whitelist_flush": "SELECT * FROM whitelist WHERE source <> 'external'",
     "manual_actions_dry_run": _event(f"(SELECT target AS client_ip FROM commands WHERE command = 'ban' AND NOT ({_ALLOWED_OR_BANNED}))", "DRY", "'dry-run (manual)'",
                              domain="'manual'", count="'0'", duration="'dry-run'") + " UNION ALL " + _event(
