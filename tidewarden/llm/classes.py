@@ -43,21 +43,14 @@ def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def bucket_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL,
-                   refine: Callable[[DataFrame], DataFrame] | None = None,
                    later: Callable[[DataFrame], DataFrame] | None = None,
                    likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, label) from (key, id) rows; ``verify`` keeps those of (a, b) pairs that are links.
 
-    ``refine`` gives more selective (key, id) rows for the ids of large buckets, before hubs are tried.
     ``later`` gives (key, id, place) rows for the ids of large buckets that hold several classes after the hubs;
     every link between such ids must share a key for which ``likely`` is true of their places. Ids without a
     link are left out.
     """
-    if refine:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = staged(rows.join(counts, "key").select("key", "id", "n"))
-        anew = refine(shared.where(F.col("n") > small).select("id").distinct())
-        rows = shared.where(F.col("n") <= small).select("key", "id").unionByName(anew)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = staged(rows.join(sizes, "key").select("key", "id", "n"))
     few = rows.where(F.col("n") <= small).select("key", "id")

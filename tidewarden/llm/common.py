@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -15,13 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows of a written table that may be broadcast: two or three numbers each, below 100 MB
+BROADCAST_ROWS = 1_000_000
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="llm-stage-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir()
+
+
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; joins with larger ones exchange both sides."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ Equal lines are one line first. A line of length L is split into ``max_edits + 1
 Candidates are verified by banded bit-parallel edit distance. Classes are connected components of linked
 lines; the first line of a class by (doc_id, text hash, line number) stays, the others are repeats.
 
-Buckets that many different lines share are refined when one edit is allowed: the lines are split into
-``FINE`` segments, all but one of which must survive, so that a key covers all of the line but one segment.
+In buckets that many different lines share all are compared with one hub. Lines of those that then still hold
+several classes are dealt anew when one edit is allowed: they are split into ``FINE`` segments, all but one of which
+must survive, so that a key covers all of the line but one segment.
 
 Lines end at a newline; those below ``min_chars`` characters are left alone. Null texts have no lines. Rows
 that repeat both doc_id and text are the same document. Extra columns stay. An empty table gives no rows. Lines are
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.classes import bucket_classes
-from tidewarden.llm.common import let, own_columns, staged
+from tidewarden.llm.common import let, own_columns, small, staged
 
 FINE = 16
 
@@ -118,10 +119,10 @@ def placed_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc
     keys = segment_keys(F.col("line"), F.col("length"), max_edits)
     # numbers only are shuffled: the keys of equal lines are equal
     width = _key_count(max_edits)
-    numbered = lines.withColumn("keys", keys)
     place = F.struct("doc_id", "text_key", "line_no")
-    numbered = staged(numbered.select("doc_id", "text_key", "line_no", "h", "keys"))
-    distinct = staged(numbered.select("h", place.alias("at"), *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(width)])
+    numbered = staged(lines.select("doc_id", "text_key", "line_no", "h"))
+    keyed = lines.select("h", place.alias("at"), keys.alias("keys"))
+    distinct = staged(keyed.select("h", "at", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(width)])
                       .groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("at"),
                                         *[F.min(f"k{i}").alias(f"k{i}") for i in range(width)]))
     every = distinct.select("h", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(width)]))).alias("key"))
@@ -133,11 +134,12 @@ def placed_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc
     body = own_columns(docs, doc_id=doc_id, text=text)
     cut_out = let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(
         x["h"].alias("h"), F.get(parts, x["line_no"]).alias("line"))))
-    found = by_doc.join(body, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
+    found = body.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
     texts = staged(found.where(F.xxhash64("line", F.length("line")) == F.col("h")).dropDuplicates(["h"]))
 
-    def refine(ids: DataFrame) -> DataFrame:
-        return ids.join(texts, F.col("id") == F.col("h")).select(F.explode(fine_keys(F.col("line"), F.length("line"))).alias("key"), "id")
+    def finer(ids: DataFrame) -> DataFrame:
+        keyed = ids.join(texts, F.col("id") == F.col("h")).select("id", F.sort_array(fine_keys(F.col("line"), F.length("line"))).alias("place"))
+        return keyed.select(F.explode("place").alias("key"), "id", "place")
 
     def check(batches):
         for b in batches:
@@ -151,7 +153,7 @@ def placed_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc
         near = F.abs(F.length("line_a") - F.length("line_b")) <= max_edits
         return both.where(near).select("a", "b", "line_a", "line_b").mapInPandas(check, "a long, b long")
 
-    labels = bucket_classes(rows, verify, refine=refine if max_edits == 1 else None)
+    labels = bucket_classes(rows, verify, later=finer if max_edits == 1 else None)
     known = distinct.select("h", "at", "copies").join(labels, F.col("h") == F.col("node"), "left")
     known = known.select("h", "at", "copies", "label")
     alone = known.where("label is null").select("h", "copies", F.col("at").alias("first"))
@@ -192,7 +194,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     body = F.col(f"`{text}`")
     parts = F.split(body, "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
-    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__text")), "left")
+    joined = docs.join(small(staged(gone)), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__text")), "left")
     rows = joined.withColumn("__lines", parts).withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
     rebuilt = F.array_join(F.transform("__left", lambda i: F.get(F.col("__lines"), i)), "\n")
     rows = rows.withColumn(text, F.when(F.col("__left").isNotNull(), rebuilt).otherwise(body))

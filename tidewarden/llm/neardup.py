@@ -24,10 +24,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.classes import bucket_classes
-from tidewarden.llm.common import grams, let, own_columns, shingles, staged, words
+from tidewarden.llm.common import grams, let, own_columns, shingles, small, staged, words
 
 BANDS, ROWS = 24, 4
 #: ratio of neighbouring size classes among which rare runs are looked up
@@ -170,7 +170,7 @@ def _sketched(k: int):
                 for i, d in zip(todo[:stop], (darts >> np.uint64(32)).astype(np.uint32).view(np.int32)):
                     out[i] = d
                 todo = todo[stop:]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "node", "darts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), b.column("text_key"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "node", "text_key", "darts"])
     return run
 
 
@@ -189,23 +189,28 @@ def _tagged(batches):
 
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, rows: int = ROWS,
             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, class_id, kept_node): kept_node is the node of the row with the class's id."""
+    """(doc_id, node, text_key, class_id, kept_node): kept_node is the node of the row with the class's id.
+
+    ``text_key`` is a hash of the text. Texts that have to be compared are looked up on the scan while their
+    number allows a broadcast (``common.small``); beyond that texts are exchanged by id and hash.
+    """
     body = own_columns(docs, doc_id=doc_id, text=text)
     kind = body.schema["doc_id"].dataType.simpleString()
     # the words of a text are made once
-    split = body.select("doc_id", words(F.col("text")).alias("w"))
-    bags = split.select("doc_id", F.when(F.size("w") > 0, F.xxhash64("w")).alias("node"),
+    split = body.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    bags = split.select("doc_id", "text_key", F.when(F.size("w") > 0, F.xxhash64("w")).alias("node"),
                         grams(F.transform("w", lambda x: F.xxhash64(x)), n, lambda *x: F.xxhash64(*x)).alias("h"))
-    every = staged(bags.mapInArrow(_sketched(bands * rows), f"doc_id {kind}, node long, darts array<int>"))
+    every = staged(bags.mapInArrow(_sketched(bands * rows), f"doc_id {kind}, node long, text_key long, darts array<int>"))
     band = [F.xxhash64(F.lit(b), *[F.get("darts", F.lit(b * rows + i)) for i in range(rows)]) for b in range(bands)]
     keys = every.where("darts is not null").select(F.explode(F.array(*band)).alias("key"), F.col("node").alias("id")).distinct()
 
-    named = every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = every.where("node is not null").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("r")).select("node", "r.doc_id", "r.text_key")
 
     def bags_of(wanted: DataFrame) -> DataFrame:
         """(node, bag); one row stands for each node, so that copies are not carried along."""
-        chosen = staged(wanted.join(named, "node").select("node", F.col("doc_id").alias("__id")))
-        found = (chosen.join(body, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.col("node") == node_of(F.col("text")))
+        chosen = staged(wanted.join(named, "node").select("node", F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")))
+        found = (body.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")))
                  .select("node", shingles(F.col("text"), n).alias("h")))
         return staged(found.mapInPandas(_tagged, "node long, bag array<long>").dropDuplicates(["node"]))
 
@@ -232,8 +237,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     grouped = named.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min_by(F.struct("node", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r"))
     table = staged(grouped.join(least, "label").select("node", F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("kept_node")))
-    with_words = every.where("node is not null").join(table, "node").select("doc_id", "node", "class_id", "kept_node")
-    alone = every.where("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("kept_node"))
+    with_words = every.where("node is not null").join(table, "node").select("doc_id", "node", "text_key", "class_id", "kept_node")
+    alone = every.where("node is null").select("doc_id", "node", "text_key", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("kept_node"))
     return with_words.unionByName(alone)
 
 
@@ -242,11 +247,20 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
     Of rows alike in id and words one stays; texts without words all stay.
     """
-    kept = (classes(docs, doc_id=doc_id, text=text, **options)
-            .where("node is not null and node = kept_node and doc_id <=> class_id")
-            .select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node")).distinct())
-    rows = docs.withColumn("__node", node_of(F.col(f"`{text}`")))
-    first = Window.partitionBy(f"`{doc_id}`", "__node").orderBy(F.col(f"`{text}`"))
-    stay = (rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept_id")) & (F.col("__node") == F.col("__kept_node")), "left_semi")
-            .withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
-    return stay.unionByName(rows.where("__node is null")).drop("__node")
+    found = classes(docs, doc_id=doc_id, text=text, **options).where("node is not null")
+    rows = staged(found.groupBy("doc_id", "node", "text_key").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("node = kept_node AND doc_id <=> class_id")).alias("kept")))
+    first = rows.groupBy("doc_id", "node").agg(F.min("text_key").alias("first")).withColumnsRenamed({"doc_id": "__d", "node": "__n"})
+    judged = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("node") == F.col("__n")))
+    stays = F.col("kept") & (F.col("text_key") == F.col("first"))
+    # what goes, and what stays once of several rows alike; all other rows pass by
+    special = staged(judged.where(~stays | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), stays.alias("__once")))
+    body = F.col(f"`{text}`")
+    marked = docs.join(small(special), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & body.isNotNull() & (F.xxhash64(body) == F.col("__text")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = marked.where("__once is null").select(*columns)
+    if special.where("__once").isEmpty():
+        return stay
+    once = marked.where("__once").dropDuplicates(["__id", "__text"]).select(*columns)
+    return stay.unionByName(once)
