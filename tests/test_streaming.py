@@ -4,7 +4,7 @@ import random
 from tests.helpers import at, events, rows
 from tidewarden.operators import detect, ledger
 from tidewarden.params import Params
-from tidewarden.schemas import ACTIVE_BANS, DETECTIONS, WHITELIST
+from tidewarden.schemas import DETECTIONS, WHITELIST
 from tidewarden.sources import tables
 from tidewarden.sources.querylog import stream_query_lines
 from tidewarden.streaming import detect as live_detect
@@ -75,3 +75,31 @@ def test_stream_ledger_equals_replay(spark, tmp_path):
     left = rows(tables.read_bans(spark, bans_path), "client_ip", "is_permanent")
     permanent = {r[2] for r in want if r[5] == "permanent"}
     assert left == sorted([(c, True) for c in permanent] + [("end", False)])
+
+
+def test_a_streamed_country_ban_is_lifted_when_the_country_is_allowed(spark, tmp_path):
+    geo = P.with_(geoip_enabled=True, geoip_countries=("XX", "YY"))
+    found_path, bans_path, history_path = (str(tmp_path / n) for n in ("found", "bans", "history"))
+    hits = [(at(i), f"c{i}", f"GeoIP:{c}", 0, "-", "geoip", "geoip", True, c) for i, c in enumerate(["XX", "YY", "XX"])]
+    spark.createDataFrame(hits, DETECTIONS).write.parquet(found_path)
+    source = spark.readStream.schema(DETECTIONS).parquet(found_path).withWatermark("at", "10 seconds")
+    sink = live_ledger.ledger_sink(spark, bans_path, history_path, geo)
+    for checkpoint in ("one", "two"):  # a fresh checkpoint reads all again: history has both runs, no ban is lost
+        run(live_ledger.stream_ledger(source, geo), tmp_path, checkpoint, sink)
+    assert tables.read_history(spark, history_path).count() == 6
+    table = tables.read_bans(spark, bans_path)
+    assert rows(table, "client_ip", "geoip_country", "is_permanent") == [("c0", "XX", True), ("c1", "YY", True), ("c2", "XX", True)]
+    step = ledger.lift_geo_bans(table, geo.with_(geoip_countries=("YY",)), 2_000_000_000)
+    tables.record_step(step, spark, bans_path, "geo", 0, 2_000_000_000)
+    assert rows(tables.read_bans(spark, bans_path), "client_ip") == [("c1",)]
+
+
+def test_a_dry_stream_bans_nobody(spark, tmp_path):
+    dry = P.with_(dry_run=True)
+    found_path, bans_path, history_path = (str(tmp_path / n) for n in ("found", "bans", "history"))
+    hits = [(at(i), "c", "x.com", 9, "dns", "rate-limit", "monitor", False, "") for i in range(3)]
+    spark.createDataFrame(hits, DETECTIONS).write.parquet(found_path)
+    source = spark.readStream.schema(DETECTIONS).parquet(found_path).withWatermark("at", "10 seconds")
+    run(live_ledger.stream_ledger(source, dry), tmp_path, "dry", live_ledger.ledger_sink(spark, bans_path, history_path, dry))
+    assert rows(tables.read_history(spark, history_path), "action", "duration", "reason") == [("DRY", "dry-run", "dry-run (rate-limit)")] * 3
+    assert tables.read_bans(spark, bans_path).count() == 0

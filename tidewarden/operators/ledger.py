@@ -302,7 +302,7 @@ def enforcement_set(bans: DataFrame, now: int) -> DataFrame:
 #: of a client that is never free again, and of one that always is
 _NEVER, _ALWAYS = 2 ** 62, -2 ** 62
 _FOLDED = ("client string, at_epoch long, target string, n long, protocol string, reason string, source string, "
-           "offense_level int, ban_duration long, ban_until_epoch long, is_permanent boolean")
+           "country string, offense_level int, ban_duration long, ban_until_epoch long, is_permanent boolean")
 
 
 def _fold(params: Params):
@@ -351,7 +351,7 @@ def _fold(params: Params):
                     eligible = now + length + lag if timed else None
             if opened:
                 rows, levels, lengths, untils, forevers = zip(*opened)
-                yield batch.iloc[list(rows)][["client", "at_epoch", "target", "n", "protocol", "reason", "source"]].assign(
+                yield batch.iloc[list(rows)][["client", "at_epoch", "target", "n", "protocol", "reason", "source", "country"]].assign(
                     offense_level=np.array(levels, "int32"), ban_duration=np.array(lengths, "int64"),
                     ban_until_epoch=np.array(untils, "int64"), is_permanent=np.array(forevers))
 
@@ -367,7 +367,9 @@ def replay_bans(detections: DataFrame, params: Params, bans: DataFrame | None =
     fills a third of the log still brings at most one row per second into the fold. Bans and offences
     go in as one more row per client that has both detections and a past.
     """
-    rest = ["target", "n", "protocol", "reason", "source", "permanent"]
+    rest = ["target", "n", "protocol", "reason", "source", "permanent", "country"]
+    country = F.col("country") if "country" in detections.columns else F.lit("")
+    detections = detections.withColumn("country", F.coalesce(country, F.lit("")))
     if params.dry_run:
         detections = detections.filter("false")
     per_second = detections.groupBy("client", F.unix_seconds("at").alias("at_epoch")).agg(
@@ -412,7 +414,7 @@ def replay_step(detections: DataFrame, bans: DataFrame, offenses: DataFrame, par
     fresh = opened.select(
         F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").alias("count"), epoch_text(start).alias("ban_time"),
         "ban_until_epoch", "ban_duration", "offense_level", "is_permanent", "reason", "protocol", "source",
-        F.lit("").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"))
+        F.col("country").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"))
     both = bans.unionByName(fresh, allowMissingColumns=True)
     over = F.coalesce(~F.col("is_permanent") & (F.col("ban_until_epoch") > 0) & (F.col("ban_until_epoch") <= until), F.lit(False))
     ended = both.filter(over)

@@ -70,11 +70,11 @@ def change_bans(spark: SparkSession, path: str, run: str, sequence: int, opened:
     """
     parts = []
     if lifted is not None:
-        gone = lifted.select("client_ip", (F.lit(lifted_at) * 2).cast("long").alias("at")).groupBy("client_ip").agg(F.max("at").alias("at"))
+        gone = lifted.select("client_ip", (F.lit(lifted_at).cast("long") * 2).alias("at")).groupBy("client_ip").agg(F.max("at").alias("at"))
         parts.append(as_changes(gone, F.col("at"), run, sequence, True).drop("at"))
     if opened is not None:
         held = [c for c in ACTIVE_BANS.names if c in opened.columns]
-        fresh = opened.select(*held, (F.lit(opened_at) * 2 + 1).cast("long").alias("at"))
+        fresh = opened.select(*held, (F.lit(opened_at).cast("long") * 2 + 1).alias("at"))
         parts.append(as_changes(fresh, F.col("at"), run, sequence).drop("at"))
     changes = parts[0] if len(parts) == 1 else parts[1].unionByName(parts[0], allowMissingColumns=True)
     whole = [F.col(f.name).cast(f.dataType) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _BAN_CHANGES.fields]

@@ -20,7 +20,7 @@ from tidewarden.sources.tables import change_bans, history_append, read_snapshot
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENTS = ("client string, at timestamp, action string, target string, n long, protocol string, reason string, "
-          "source string, offense_level int, ban_duration long, ban_until_epoch long, is_permanent boolean")
+          "source string, offense_level int, ban_duration long, ban_until_epoch long, is_permanent boolean, country string")
 _STATE = T.StructType([
     T.StructField("level", T.IntegerType()), T.StructField("last", T.LongType()),
     T.StructField("until", T.LongType()), T.StructField("banned", T.BooleanType()),
@@ -43,7 +43,7 @@ def _ledger_processor(params: Params) -> StatefulProcessor:
             self.ban = handle.getValueState("ban", _STATE)
 
         def _unban(self, client: str, until: int) -> list:
-            return [client, stamp(until), "UNBAN", "-", 0, "-", "expired", "-", 0, 0, until, False]
+            return [client, stamp(until), "UNBAN", "-", 0, "-", "expired", "-", 0, 0, until, False, ""]
 
         def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
             (client,) = key
@@ -53,7 +53,7 @@ def _ledger_processor(params: Params) -> StatefulProcessor:
             for row in found.itertuples(index=False):
                 if dry:  # nothing marks the client
                     out.append([client, stamp(row.at_epoch), "DRY", row.target, row.n, row.protocol,
-                                f"dry-run ({row.reason})", row.source, 0, 0, 0, False])
+                                f"dry-run ({row.reason})", row.source, 0, 0, 0, False, row.country or ""])
                     continue
                 if banned and (until == 0 or row.at_epoch < until + lag):
                     continue
@@ -69,7 +69,7 @@ def _ledger_processor(params: Params) -> StatefulProcessor:
                         forever, length = True, 0
                 banned, until = True, 0 if forever or length <= 0 else int(row.at_epoch) + length
                 out.append([client, stamp(row.at_epoch), "BAN", row.target, row.n, row.protocol, row.reason,
-                            row.source, shown, length, until, forever])
+                            row.source, shown, length, until, forever, row.country or ""])
             if dry:
                 yield pd.DataFrame(out, columns=columns)
                 return
@@ -111,9 +111,11 @@ def stream_ledger(detections: DataFrame, params: Params) -> DataFrame:
 
     Feed it the table that :func:`detections_sink` writes: that holds at most one row per
     client and second, so no micro-batch brings a large group to one client's state. The
-    state itself is a level and three numbers.
+    state itself is a level and three numbers. A ban keeps the country of its detection, so that
+    a country that is allowed later lifts it. A dry run gives one DRY event per row and keeps no state.
     """
-    timed = detections.withColumn("at_epoch", F.unix_seconds("at"))
+    country = F.col("country") if "country" in detections.columns else F.lit("")
+    timed = detections.withColumn("at_epoch", F.unix_seconds("at")).withColumn("country", F.coalesce(country, F.lit("")))
     return timed.groupBy("client").transformWithStateInPandas(
         _ledger_processor(params), EVENTS, "append", "eventTime")
 
@@ -174,12 +176,12 @@ def ledger_sink(spark: SparkSession, bans_path: str, history_path: str, params:
         if not params.dry_run:
             latest = events.groupBy("client").agg(F.max_by(F.struct(
                 "action", "target", "n", "at", "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
-                "reason", "protocol", "source"), F.struct("at", F.col("action") == "BAN")).alias("e")).select("client", "e.*")
+                "reason", "protocol", "source", "country"), F.struct("at", F.col("action") == "BAN")).alias("e")).select("client", "e.*")
             now = F.unix_seconds("at")
             opened = latest.filter("action = 'BAN'").select(
                 F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").cast("long").alias("count"),
                 epoch_text(now).alias("ban_time"), "ban_until_epoch", "ban_duration", "offense_level", "is_permanent",
-                "reason", "protocol", "source", F.lit("").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"), now.alias("second"))
+                "reason", "protocol", "source", F.col("country").alias("geoip_country"), F.lit(params.geoip_mode).alias("geoip_mode"), now.alias("second"))
             lifted = latest.filter("action = 'UNBAN'").select(F.col("client").alias("client_ip"), now.alias("second"))
             change_bans(spark, bans_path, run, batch_id, opened, lifted, F.col("second"), F.col("second"))
         events.unpersist()
