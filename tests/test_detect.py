@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import T0, at, events, rows
 from tidewarden.operators import detect
-from tidewarden.operators.slices import slice_seconds
+from tidewarden.operators.slices import SECOND, in_cells, slice_seconds, slice_start
 from tidewarden.params import Params
 
 P = Params(rate_limit_max_requests=3, rate_limit_window=60, check_interval=10,
@@ -99,6 +100,37 @@ def test_trailing_detectors_match_brute_force(spark, window, longest):
     assert sorted(got) == brute_flood(log, p)
 
 
+@pytest.mark.parametrize("window,longest,most", [(60, 3600, 0), (60, 7, 3), (17, 3600, 40), (90, 30, 10)])
+def test_dense_slices_match_brute_force(spark, window, longest, most):
+    p = P.with_(rate_limit_window=window, subdomain_flood_window=window, max_slice_seconds=longest, max_slice_rows=most)
+    log = random_log(window + most, 250, 400)
+    df = events(spark, log)
+    got = [(seconds(r[0]), *r[1:]) for r in rows(detect.rate_limit_trailing(df, p), "at", "client", "target", "n", "protocol")]
+    assert sorted(got) == brute_rate(log, p)
+    got = [(seconds(r[0]), *r[1:]) for r in rows(detect.subdomain_flood_trailing(df, p), "at", "client", "target", "n")]
+    assert sorted(got) == brute_flood(log, p)
+
+
+def test_a_hot_key_is_ordered_in_cells(spark):
+    """90 % of the rows are one key in one slice; no group that is ordered holds more than 1 % of them."""
+    p = P.with_(max_slice_rows=100)
+    times = F.when(F.col("id") % 10 < 9, F.col("id") * 2_000).otherwise(F.col("id") * 7_000_000)
+    log = spark.range(20_000).select(
+        F.timestamp_micros(F.lit(int(T0.timestamp()) * SECOND) + times).alias("at"), F.lit(0).alias("at_ns"), F.lit("a").alias("client"),
+        F.when(F.col("id") % 10 < 9, F.lit("x.y.com")).otherwise(F.concat("id", F.lit(".z.com"))).alias("domain"), F.lit("dns").alias("protocol"))
+    own = slice_start(F.unix_micros("at"), 60 * SECOND)
+    marked = log.select("client", "domain", own.alias("slice"), (F.unix_micros("at") * 2).alias("ord"), F.lit(True).alias("dense"))
+    sizes = in_cells(marked, 60 * SECOND).groupBy("client", "domain", "slice", "cell").count()
+    assert marked.groupBy("client", "domain", "slice").count().agg(F.max("count")).first()[0] == 18_000
+    assert sizes.agg(F.max("count")).first()[0] <= 180
+    for job in (detect.rate_limit_trailing, detect.subdomain_flood_trailing):
+        plan = job(log, p)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("cell" in line.split("], [")[1] for line in plan.splitlines() if "Window [sum(delta" in line)
+    # every query but the first three is over the limit
+    got = detect.rate_limit_trailing(log, p).agg(F.count("*"), F.max("n"), F.min("n")).first()
+    assert tuple(got) == (18_000 - 3, 18_000, 4)
+
+
 def test_trailing_window_edges_to_the_microsecond(spark):
     p = P.with_(rate_limit_max_requests=1, subdomain_flood_max_unique=1)
     log = events(spark, [(at(0), "a", "p.x.com"), (at(60), "a", "p.x.com"), (at(120, 1), "a", "p.x.com"),

@@ -78,14 +78,17 @@ def trailing_counts(events: DataFrame, keys: list[str], window: int, limit: int,
     Counts per (key, slice) come first. They bound the trailing count of a slice from
     above, so only slices that can exceed the limit go on, each with the count of the
     slices that lie wholly inside its windows. Their events, and the events that leave
-    their windows, then give the exact count by one running sum per slice.
+    their windows, then give the exact count by one running sum per slice, or per cell where
+    a slice has more than ``max_slice_rows`` rows.
     """
     width = slice_seconds(window, params.max_slice_seconds) * SECOND
     span = window * SECOND
     at_us = F.unix_micros("at")
     counts = events.groupBy(*keys, slice_start(at_us, width).alias("slice")).agg(F.count("*").alias("c"))
-    inside = Window.partitionBy(*keys).orderBy("slice").rangeBetween(-span, -width)
-    busy = counts.withColumn("before", F.coalesce(F.sum("c").over(inside), F.lit(0))).filter(
+    along = Window.partitionBy(*keys).orderBy("slice")
+    inside, leaving = along.rangeBetween(-span, -width), along.rangeBetween(-span, -span)
+    busy = counts.withColumn("before", F.coalesce(F.sum("c").over(inside), F.lit(0))).withColumn(
+        "dense", F.col("c") + F.coalesce(F.sum("c").over(leaving), F.lit(0)) > params.max_slice_rows).filter(
         F.col("before") + F.col("c") > limit).drop("c")
 
     own = slice_start(at_us, width)
@@ -94,7 +97,7 @@ def trailing_counts(events: DataFrame, keys: list[str], window: int, limit: int,
         F.struct((own + span).alias("slice"), ((at_us + span) * 2 + 1).alias("ord"), F.lit(-1).alias("delta")),
     )
     rows = events.select("*", F.inline(moves)).join(busy, [*keys, "slice"])
-    return running_count(rows, keys).filter(
+    return running_count(rows, keys, width).filter(
         (F.col("delta") == 1) & (F.col("n") > limit)).drop("slice", "ord", "delta", "before")
 
 
@@ -110,13 +113,17 @@ def _panes(at_us: Column, window: int, hop: int) -> Column:
     return slice_start(at_us, gcd(window, hop) * SECOND)
 
 
-def _window_starts(pane: Column, window: int, hop: int) -> Column:
-    """Starts of all hopping windows that hold a pane; empty when windows leave gaps."""
+def _start_range(pane: Column, window: int, hop: int) -> tuple[Column, Column]:
+    """First and last start of the hopping windows that hold a pane; first is later where none does."""
     pane_us, span, step = gcd(window, hop) * SECOND, window * SECOND, hop * SECOND
     lowest = pane + pane_us - span
-    first = lowest + F.pmod(-lowest, F.lit(step))
-    last = slice_start(pane, step)
-    return F.when(first <= last, F.sequence(first, last, F.lit(step)))
+    return lowest + F.pmod(-lowest, F.lit(step)), slice_start(pane, step)
+
+
+def _window_starts(pane: Column, window: int, hop: int) -> Column:
+    """Starts of all hopping windows that hold a pane; empty when windows leave gaps."""
+    first, last = _start_range(pane, window, hop)
+    return F.when(first <= last, F.sequence(first, last, F.lit(hop * SECOND)))
 
 
 def rate_limit_ticks(events: DataFrame, params: Params) -> DataFrame:
@@ -168,41 +175,60 @@ def subdomain_flood_trailing(events: DataFrame, params: Params) -> DataFrame:
     queries = queries.withColumn("slice", slice_start(at_us, width)).withColumn("ord", at_us * 2)
 
     seen = queries.groupBy("client", "base", "domain", "slice").agg(
-        F.min(at_us).alias("first"), F.max(at_us).alias("last"))
+        F.min(at_us).alias("first"), F.max(at_us).alias("last"), F.count("*").alias("c"))
     along = Window.partitionBy("client", "base", "domain").orderBy("slice")
     opens = F.coalesce(F.col("first") - F.lag("last").over(along) > span, F.lit(True))
     closes = F.coalesce(F.lead("first").over(along) - F.col("last") > span, F.lit(True))
     spans = seen.withColumn("opens", opens).withColumn("closes", closes)
     gone = F.col("last") + span
     changes = spans.select("client", "base", F.inline(F.array(
-        F.struct("slice", (F.col("first") * 2).alias("ord"), F.col("opens").cast("int").alias("delta"), F.lit(True).alias("asked")),
+        F.struct("slice", (F.col("first") * 2).alias("ord"), F.col("opens").cast("int").alias("delta"), F.col("c").alias("asked")),
         F.struct(slice_start(gone, width).alias("slice"), (gone * 2 + 1).alias("ord"),
-                 (-F.col("closes").cast("int")).alias("delta"), F.lit(False).alias("asked")),
+                 (-F.col("closes").cast("int")).alias("delta"), F.lit(0).cast("long").alias("asked")),
     )))
 
     totals = changes.groupBy("client", "base", "slice").agg(
-        F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0))).alias("opened"), F.max("asked").alias("asked"))
+        F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0))).alias("opened"),
+        F.sum("asked").alias("asked"), F.count("*").alias("changes"))
     earlier = Window.partitionBy("client", "base").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     busy = totals.withColumn("before", F.coalesce(F.sum("net").over(earlier), F.lit(0))).filter(
-        F.col("asked") & (F.col("before") + F.col("opened") > limit)).select("client", "base", "slice", "before")
+        (F.col("asked") > 0) & (F.col("before") + F.col("opened") > limit)).select(
+        "client", "base", "slice", "before", (F.col("asked") + F.col("changes") > params.max_slice_rows).alias("dense"))
 
     points = queries.select("client", "base", "slice", "ord", F.lit(0).alias("delta"), "at")
     rows = points.unionByName(
         changes.filter("delta <> 0").drop("asked").withColumn("at", F.lit(None).cast("timestamp"))
     ).join(busy, ["client", "base", "slice"])
-    hits = running_count(rows, ["client", "base"]).filter(F.col("at").isNotNull() & (F.col("n") > limit))
+    hits = running_count(rows, ["client", "base"], width).filter(F.col("at").isNotNull() & (F.col("n") > limit))
     return flood_verdict(hits, params)
 
 
 def subdomain_flood_ticks(events: DataFrame, params: Params) -> DataFrame:
-    """The distinct-name test on every window of the evaluation grid."""
+    """The distinct-name test on every window of the evaluation grid.
+
+    The windows that hold a name are runs of neighbouring starts. A run adds one to the count where it
+    begins and takes one where it has ended, so a name gives two rows per run, whatever the overlap of
+    the windows; only counts over the limit are written out for every start.
+    """
     window, hop = params.subdomain_flood_window, params.check_interval
+    step = hop * SECOND
     names = subdomain_queries(events).select(
         "client", "base", "domain", _panes(F.unix_micros("at"), window, hop).alias("pane")).distinct()
-    hits = names.select(
-        "client", "base", "domain", F.explode(_window_starts(F.col("pane"), window, hop)).alias("start")
-    ).groupBy("client", "base", "start").agg(F.count_distinct("domain").alias("n")).filter(
-        F.col("n") > params.subdomain_flood_max_unique)
+    first, last = _start_range(F.col("pane"), window, hop)
+    held = names.select("client", "base", "domain", "pane", first.alias("first"), last.alias("last")).filter("first <= last")
+    along = Window.partitionBy("client", "base", "domain").orderBy("pane")
+    begins = F.coalesce(F.col("first") - F.lag("last").over(along) > step, F.lit(True)).cast("int")
+    ends = F.coalesce(F.lead("first").over(along) - F.col("last") > step, F.lit(True)).cast("int")
+    changes = held.select("client", "base", "first", "last", begins.alias("begins"), ends.alias("ends")).select(
+        "client", "base", F.inline(F.array(
+            F.struct(F.col("first").alias("start"), F.col("begins").alias("delta")),
+            F.struct((F.col("last") + step).alias("start"), (-F.col("ends")).alias("delta"))))).filter("delta <> 0")
+    # one row per start at most from here on
+    nets = changes.groupBy("client", "base", "start").agg(F.sum("delta").alias("net"))
+    onwards = Window.partitionBy("client", "base").orderBy("start")
+    counted = nets.select("client", "base", "start", F.sum("net").over(onwards).alias("n"), F.lead("start").over(onwards).alias("until"))
+    hits = counted.filter(F.col("n") > params.subdomain_flood_max_unique).select(
+        "client", "base", "n", F.explode(F.sequence(F.col("start"), F.col("until") - step, F.lit(step))).alias("start"))
     return flood_verdict(hits.withColumn("at", F.timestamp_micros(F.col("start") + window * SECOND)), params)
 
 

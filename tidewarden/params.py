@@ -55,8 +55,10 @@ class Params:
     report_interval: str = "weekly"
     report_busiest_day_range: int = 30
 
-    # physical layout: longest time slice one task has to order for one key
+    # physical layout: longest time slice one task has to order for one key, and the rows
+    # above which a slice is ordered in finer cells
     max_slice_seconds: int = 3600
+    max_slice_rows: int = 1_000_000
 
     def __post_init__(self) -> None:
         codes = tuple(c.strip().upper() for c in self.geoip_countries if c.strip())
