@@ -1,6 +1,8 @@
 import ipaddress
 import random
 
+from pyspark.sql import functions as F
+
 from tests.helpers import at, events, rows
 from tidewarden.operators import geo
 from tidewarden.operators.networks import matching_networks
@@ -39,6 +41,24 @@ def test_matching_networks_agrees_with_the_standard_library(spark):
     assert got == want
 
 
+def test_clients_of_one_wide_network_are_spread(spark):
+    """50,000 clients below one IPv6 /32, as an operator's subscribers are, meet it in many tasks."""
+    asked = spark.range(50_000).select(F.concat(F.lit("2001:db8:"), F.hex("id"), F.lit("::1")).alias("client"))
+    nets = spark.createDataFrame([("2001:db8::/32",), ("2001:db8:7::/48",)], "network string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = matching_networks(asked, nets).groupBy("network", F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wide = [r["count"] for r in found if r["network"] == "2001:db8::/32"]
+    assert sum(wide) == 50_000 and len(wide) >= 6 and max(wide) < 20_000
+    assert [r["count"] for r in found if r["network"] == "2001:db8:7::/48"] == [1]
+
+
 def test_matching_uses_equality_only(spark):
     plan = geo.geo_lookup(clients(spark, "1.1.1.1"), ranges(spark, ("1.0.0.0/8", "DE", "DE")))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.functions.addresses import parse_address
 
-# A network with this few leading bits can cover most clients, so its matches are spread.
-_WIDE_PREFIX = 12
+# A network with this few leading bits (by address width) can cover most clients, so its matches are spread.
+_WIDE_PREFIX = {32: 12, 128: 32}
 _SPREAD = 32
 
 
+def _wide() -> Column:
+    return F.col("prefix_len") <= F.when(F.col("width") == 32, _WIDE_PREFIX[32]).otherwise(_WIDE_PREFIX[128])
+
+
 def _unmapped(bits: Column) -> Column:
     """Treat ``::ffff:a.b.c.d`` as the IPv4 address inside."""
     mapped = (F.length(bits) == 128) & bits.startswith("0" * 80 + "1" * 16)
@@ -29,7 +33,7 @@ def matching_networks(clients: DataFrame, networks: DataFrame) -> DataFrame:
         *networks.columns, F.col("_a.prefix_len").alias("prefix_len"),
         F.length("_a.bits").alias("width"),
         F.expr("substring(_a.bits, 1, _a.prefix_len)").alias("lead"))
-    salts = F.when(F.col("prefix_len") <= _WIDE_PREFIX, F.sequence(F.lit(0), F.lit(_SPREAD - 1))).otherwise(
+    salts = F.when(_wide(), F.sequence(F.lit(0), F.lit(_SPREAD - 1))).otherwise(
         F.array(F.lit(0)))
     spread = parsed.withColumn("salt", F.explode(salts))
 
@@ -39,6 +43,6 @@ def matching_networks(clients: DataFrame, networks: DataFrame) -> DataFrame:
     probes = address.withColumn("width", F.length("bits")).join(lengths, "width").select(
         "client", "width", "prefix_len",
         F.expr("substring(bits, 1, prefix_len)").alias("lead"),
-        F.when(F.col("prefix_len") <= _WIDE_PREFIX, F.pmod(F.xxhash64("client"), F.lit(_SPREAD))).otherwise(
+        F.when(_wide(), F.pmod(F.xxhash64("client"), F.lit(_SPREAD))).otherwise(
             F.lit(0)).cast("int").alias("salt"))
     return probes.join(spread, ["width", "prefix_len", "lead", "salt"]).drop("width", "lead", "salt")
