@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: rows of a written table that may be broadcast: two or three numbers each, below 100 MB
-BROADCAST_ROWS = 1_000_000
+#: most blocks of a Bloom filter that is broadcast, five numbers each: below 100 MB
+FILTER_BLOCKS = 1_000_000
+#: keys that a block of four words is meant for: at 16 one foreign row in 400 passes, at 64 one in 6
+BLOCK_KEYS = 16
 
 
 @cache
@@ -35,11 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir()
 
 
-def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows; joins with larger ones exchange both sides."""
-    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts the plan, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
@@ -47,6 +44,54 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(key, F.lit(blocks))
+
+
+def _bits(key: Column) -> list[Column]:
+    """One bit for each word of a block."""
+    spread = F.xxhash64(key, F.lit(1))
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+
+
+def _sifted(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows with ``__hash`` (of the text) and ``__maybe``: false only if ``wanted`` has no row for them.
+
+    A blocked Bloom filter is joined to the scan by block: no text is exchanged, whatever the number of wanted rows.
+    """
+    blocks = min(FILTER_BLOCKS, wanted.count() // BLOCK_KEYS + 1)
+    key = F.xxhash64("__id", "__text")
+    table = wanted.select(key.alias("__key")).groupBy(_block(F.col("__key"), blocks).alias("__block")).agg(
+        *[F.bit_or(b).alias(f"__w{i}") for i, b in enumerate(_bits(F.col("__key")))])
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text}`"))).withColumn("__key", F.xxhash64(F.col(f"`{doc_id}`"), "__hash"))
+    rows = hashed.join(F.broadcast(table), _block(F.col("__key"), blocks) == F.col("__block"), "left")
+    held = [F.col(f"__w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(F.col("__key")))]
+    maybe = F.col(f"`{text}`").isNotNull() & F.coalesce(held[0] & held[1] & held[2] & held[3], F.lit(False))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__hash", maybe.alias("__maybe"))
+
+
+def _same(doc_id: str) -> Column:
+    return F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+
+
+def find(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that ``wanted`` names by ``__id`` and ``__text``, the hash of the text, with its columns.
+
+    ``wanted`` is a written table with one row for each id and hash; ids may be null, texts may not. Only rows
+    that pass a Bloom filter meet it, so that of all texts the wanted ones are exchanged, or none where ``wanted`` is small.
+    """
+    return _sifted(docs, wanted, doc_id, text).where("__maybe").join(wanted, _same(doc_id)).drop("__hash", "__maybe")
+
+
+def mark(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows with the columns of ``wanted``, null where it names no such row; otherwise as in ``find``."""
+    rows = _sifted(docs, wanted, doc_id, text)
+    met = rows.where("__maybe").join(wanted, _same(doc_id), "left").drop("__hash", "__maybe")
+    others = rows.where("not __maybe")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.schema]
+    return met.unionByName(others.select(*[F.col(f"`{c}`") for c in docs.columns], *none))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.classes import bucket_classes
-from tidewarden.llm.common import let, own_columns, small, staged
+from tidewarden.llm.common import find, let, mark, own_columns, staged
 
 FINE = 16
 
@@ -134,7 +134,7 @@ def placed_classes(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, doc
     body = own_columns(docs, doc_id=doc_id, text=text)
     cut_out = let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda x: F.struct(
         x["h"].alias("h"), F.get(parts, x["line_no"]).alias("line"))))
-    found = body.join(small(by_doc), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
+    found = find(body, by_doc).select(F.explode(cut_out).alias("x")).select("x.h", "x.line")
     texts = staged(found.where(F.xxhash64("line", F.length("line")) == F.col("h")).dropDuplicates(["h"]))
 
     def finer(ids: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     body = F.col(f"`{text}`")
     parts = F.split(body, "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
-    joined = docs.join(small(staged(gone)), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__text")), "left")
+    joined = mark(docs, staged(gone), doc_id, text)
     rows = joined.withColumn("__lines", parts).withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
     rebuilt = F.array_join(F.transform("__left", lambda i: F.get(F.col("__lines"), i)), "\n")
     rows = rows.withColumn(text, F.when(F.col("__left").isNotNull(), rebuilt).otherwise(body))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewarden.llm.classes import bucket_classes
-from tidewarden.llm.common import grams, let, own_columns, shingles, small, staged, words
+from tidewarden.llm.common import find, grams, let, mark, own_columns, shingles, staged, words
 
 BANDS, ROWS = 24, 4
 #: ratio of neighbouring size classes among which rare runs are looked up
@@ -191,8 +191,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, text_key, class_id, kept_node): kept_node is the node of the row with the class's id.
 
-    ``text_key`` is a hash of the text. Texts that have to be compared are looked up on the scan while their
-    number allows a broadcast (``common.small``); beyond that texts are exchanged by id and hash.
+    ``text_key`` is a hash of the text. Texts that have to be compared are sifted out on the scan (``common.find``).
     """
     body = own_columns(docs, doc_id=doc_id, text=text)
     kind = body.schema["doc_id"].dataType.simpleString()
@@ -210,8 +209,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     def bags_of(wanted: DataFrame) -> DataFrame:
         """(node, bag); one row stands for each node, so that copies are not carried along."""
         chosen = staged(wanted.join(named, "node").select("node", F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")))
-        found = (body.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")))
-                 .select("node", shingles(F.col("text"), n).alias("h")))
+        found = find(body, chosen).select("node", shingles(F.col("text"), n).alias("h"))
         return staged(found.mapInPandas(_tagged, "node long, bag array<long>").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -256,8 +254,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     # what goes, and what stays once of several rows alike; all other rows pass by
     special = staged(judged.where(~stays | (F.col("n") > 1)).select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), stays.alias("__once")))
-    body = F.col(f"`{text}`")
-    marked = docs.join(small(special), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & body.isNotNull() & (F.xxhash64(body) == F.col("__text")), "left")
+    marked = mark(docs, special, doc_id, text)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     stay = marked.where("__once is null").select(*columns)
     if special.where("__once").isEmpty():
