@@ -20,7 +20,7 @@ def way(request, spark, monkeypatch):
 def test_filter_loses_no_row(spark, docs_of, way):
     rows = [(None if i % 50 == 7 else i % 1500, None if i % 90 == 3 else "" if i % 90 == 4 else f"text {i % 1100}") for i in range(3000)]
     docs = docs_of(rows)
-    named = {(d, t) for d, t in rows if t is not None and (len(t) % 3 == 0 and t[-1] in "05" or t in ("text 1", "")) and d != 4}
+    named = {(d, t) for d, t in rows if t is not None and (len(t) % 3 == 0 and t[-1:] in "05" or t in ("text 1", "")) and d != 4}
     listed = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(sorted(named, key=repr))], "d long, t string, no long")
     wanted = common.staged(listed.select(F.col("d").alias("__id"), F.xxhash64("t").alias("__text"), F.col("no").alias("__no")))
     found, marked = common.find(docs, wanted), common.mark(docs, wanted)
