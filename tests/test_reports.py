@@ -102,6 +102,26 @@ def test_abuse_reports_and_bundle(spark, sample, tmp_path):
                            "period_overview", "abuse_reports"}
 
 
+def test_lists_of_one_pass_equal_the_single_ones(spark):
+    def found(df, *columns):  # names may be null
+        return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+    day = timedelta(days=1)
+    made = [(NOW - day * (i % 9), "UNBAN" if i % 11 == 0 else "BAN", None if i % 13 == 0 else f"9.9.9.{i % 37}", ["a.com", "", "-", None, f"d{i % 29}.net"][i % 5],
+             "1h 0m", ["dns", "", None, "doh"][i % 4], ["rate-limit", None, "", "geoip"][i % 4]) for i in range(300)]
+    past = history(spark, *made)
+    until, since, day_since = report.epoch(NOW - day), report.epoch(NOW - day * 5), report.epoch(NOW - day * 8)
+    lists = report.report_lists(past, since, until, day_since)
+    for name, single in (("top_clients", report.report_top_clients), ("top_domains", report.report_top_domains)):
+        want = found(report.with_bars(single(past, since, until)), "name", "n", "rank", "width", "top3")
+        assert found(lists.filter(lists.list == name), "name", "n", "rank", "width", "top3") == want and len(want) == 20
+    for name, single in (("protocols", report.report_protocols), ("reasons", report.report_reasons)):
+        assert found(lists.filter(lists.list == name), "name", "n") == found(single(past, since, until), "name", "n")
+    assert found(lists.filter("list = 'busiest_day'"), "name", "n") == found(report.report_busiest_day(past, day_since, until))
+    assert found(report.report_lists(past, since, until).filter("list = 'busiest_day'"), "name") == found(report.report_busiest_day(past, since, until), "day")
+    assert report.report_lists(past.limit(0), since, until).count() == 0
+
+
 def test_live_tables(spark, tmp_path):
     p = Params(rate_limit_window=60, subdomain_flood_window=60, progressive_reset_after=100)
     log = events(spark, [(0, "a", "p.x.com", "doh"), (1, "a", "p.x.com", "dns"), (2, "a", "q.x.com", "dns"), (3, "b", "p.x.com", "odd"),

@@ -118,6 +118,33 @@ def report_reasons(history: DataFrame, since: int, until: int, limit: int = REPO
     return _ranked(_bans(history, since, until).groupBy(_or_default("reason", "unknown")), limit)
 
 
+def report_lists(history: DataFrame, since: int, until: int, day_since: int | None = None, limit: int = REPORT_ROWS) -> DataFrame:
+    """(list, rank, name, n, width, top3): every ranked list of bans, from one pass over the history.
+
+    A ban goes on as one row per list that counts it and is counted per (list, name) before the shuffle; each task
+    then passes on no more than ``limit`` rows of a list. Days are counted from ``day_since`` on, and only the
+    busiest stays.
+    """
+    first = since if day_since is None else day_since
+    inside, day = F.col("timestamp_epoch") >= since, F.substring("timestamp_text", 1, 10)
+    named = inside & ~F.coalesce("domain", F.lit("")).isin("", "-")
+
+    def counted(held: Column, title: str, name: Column) -> Column:
+        return F.when(held, F.struct(F.lit(title).alias("list"), name.alias("name")))
+
+    entries = F.array_compact(F.array(
+        counted(inside, "top_clients", F.col("client_ip")), counted(named, "top_domains", F.col("domain")),
+        counted(inside, "protocols", _or_default("protocol", "unbekannt")), counted(inside, "reasons", _or_default("reason", "unknown")),
+        counted(F.col("timestamp_epoch") >= first, "busiest_day", day)))
+    counts = _bans(history, min(since, first), until).select(F.inline(entries)).groupBy("list", "name").agg(F.count("*").alias("n"))
+    latest = F.when(F.col("list") == "busiest_day", F.col("name"))
+    order = Window.partitionBy("list").orderBy(F.desc("n"), latest.desc(), "name")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    shown = ranked.withColumn("most", F.max("n").over(Window.partitionBy("list"))).filter("list <> 'busiest_day' OR rank = 1")
+    return shown.select("list", "rank", "name", "n", F.floor(F.col("n") * 100 / F.col("most")).cast("long").alias("width"),
+                        (F.col("rank") <= 3).alias("top3"))
+
+
 def report_sources(active_bans: DataFrame, limit: int = REPORT_ROWS) -> DataFrame:
     return _ranked(active_bans.groupBy(_or_default("source", "unknown")), limit)
 
@@ -175,18 +202,27 @@ def abuse_report_count(lines: DataFrame, since: int, until: int) -> DataFrame:
 
 def report_bundle(history: DataFrame, active_bans: DataFrame, lines: DataFrame | None, params: Params,
                   as_of: datetime) -> dict[str, DataFrame]:
-    """Every table of the report due at ``as_of``."""
+    """Every table of the report due at ``as_of``.
+
+    The ranked lists come from one pass over the history, kept in memory: at most 20 rows of each list.
+    """
     since, until, title = report_window(params.report_interval, as_of)
     day_since = busiest_since(params, as_of, since)
     kpis = report_kpis(history, active_bans, since, until).select(
         F.lit(title).alias("period"), F.lit(f"{as_of:%d.%m.%Y %H:%M:%S}").alias("generated"), "*")
+    lists = report_lists(history, since, until, day_since).cache()
+
+    def ranked(name: str, *columns: Column | str) -> DataFrame:
+        return lists.filter(F.col("list") == name).orderBy("rank").select(*columns)
+
+    bars = ("name", "n", "rank", "width", "top3")
     tables = {
         "kpis": kpis,
-        "busiest_day": report_busiest_day(history, day_since, until),
-        "top_clients": with_bars(report_top_clients(history, since, until)),
-        "top_domains": with_bars(report_top_domains(history, since, until)),
-        "protocols": report_protocols(history, since, until),
-        "reasons": report_reasons(history, since, until),
+        "busiest_day": ranked("busiest_day", F.col("name").alias("day"), "n"),
+        "top_clients": ranked("top_clients", *bars),
+        "top_domains": ranked("top_domains", *bars),
+        "protocols": ranked("protocols", "name", "n", protocol_class(F.col("name")).alias("css_class")),
+        "reasons": ranked("reasons", "name", "n"),
         "sources": report_sources(active_bans),
         "recent_bans": report_recent_bans(history, since, until),
         "recent_events": report_recent_events(history),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 import tempfile
 import uuid
 
@@ -555,6 +555,28 @@ def report_period_overview(t: Tables) -> DataFrame:
     return report.report_period_overview(t.ban_history(), REPORT_AS_OF)
 
 
+@query
+def report_bundle(t: Tables) -> DataFrame:
+    """From detections to the tables of a report: replayed, written, and read back as history and ban table."""
+    folder = _shared_folder(t)
+    none = [t.spark.createDataFrame([], s) for s in (ACTIVE_BANS, OFFENSES)]
+    step = ledger.replay_step(_watched_hits(t), *none, WATCHED, LOG_END)
+    tables.history_append(step.history, f"{folder}/history", "replay", 0)
+    tables.write_snapshot(step.active_bans, f"{folder}/bans")
+    made = report.report_bundle(tables.read_history(t.spark, f"{folder}/history"),
+                                tables.read_snapshot(t.spark, f"{folder}/bans", ACTIVE_BANS), None, WATCHED, AS_OF)
+
+    def listed(table: str, name: str, n: str = "n") -> DataFrame:
+        return made[table].select(F.lit(table).alias("table"), F.col(name).alias("name"), F.col(n).alias("n"))
+
+    numbers = [c for c in made["kpis"].columns if c not in ("period", "generated")]
+    kpis = made["kpis"].select(F.inline(F.array(*[
+        F.struct(F.lit("kpis").alias("table"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in numbers])))
+    parts = [listed(x, "name") for x in ("top_clients", "top_domains", "protocols", "reasons", "sources")]
+    parts += [listed("busiest_day", "day"), listed("period_overview", "label", "bans"), listed("recent_bans", "client_ip", "id").withColumn("n", F.lit(1).cast("long"))]
+    return reduce(DataFrame.unionByName, parts, kpis)
+
+
 # -- alerts ---------------------------------------------------------------------------------
 
 

@@ -489,6 +489,36 @@ def _history_replay(horizon: int) -> str:
     return _replay(_WATCHED_HITS, f"AND fin <= {horizon}").replace("shown AS offense_level, ", "").replace("SELECT client, shown, fin,", "SELECT client, fin,")
 
 
+def _bundle(since: str, day_since: str, until: str) -> str:
+    """The report on the history and the ban table of a replay over all of the log."""
+    wrote = _history_replay(AS_OF_EPOCH + 40 * 86400).replace("SELECT client AS client_ip", ", wrote AS (SELECT client AS client_ip", 1) + ")"
+    like = "lower(coalesce({0}, '')) LIKE '{1}'"
+    lists = {"top_clients": "client_ip", "protocols": "coalesce(nullif(protocol, ''), 'unbekannt')", "reasons": "coalesce(nullif(reason, ''), 'unknown')"}
+    entries = [f"SELECT '{name}' AS t, {key} AS name FROM inside" for name, key in lists.items()]
+    entries += ["SELECT 'top_domains', domain FROM inside WHERE coalesce(domain, '') NOT IN ('', '-')",
+                f"SELECT 'busiest_day', substr(timestamp_text, 1, 10) FROM wrote WHERE action = 'BAN' AND timestamp_epoch BETWEEN epoch({day_since}) AND epoch({until})",
+                "SELECT 'sources', 'monitor' FROM lasting"]
+    kpis = {"total_bans": "FROM inside", "unique_ips": "FROM (SELECT DISTINCT client_ip FROM inside)", "active_bans": "FROM lasting",
+            "total_unbans": f"FROM wrote WHERE action = 'UNBAN' AND timestamp_epoch BETWEEN epoch({since}) AND epoch({until})",
+            "permanent_bans": "FROM inside WHERE " + like.format("duration", "%permanent%"),
+            "rate_limit_bans": "FROM inside WHERE " + like.format("reason", "%rate%limit%"),
+            "subdomain_flood_bans": "FROM inside WHERE " + like.format("reason", "%subdomain%flood%"),
+            "external_blocklist_bans": "FROM inside WHERE " + like.format("reason", "%external%blocklist%")}
+    single = " UNION ALL ".join(f"SELECT 'kpis', '{name}', count(*) {rows}" for name, rows in kpis.items())
+    periods = [("Gestern", 1, f"{_AS_OF} - INTERVAL 1 SECOND")] + [(f"Letzte {d} Tage", d, _AS_OF) for d in (7, 14, 30)]
+    overview = " UNION ALL ".join(
+        f"SELECT 'period_overview', '{label}', count(*) FROM wrote WHERE action = 'BAN' AND timestamp_epoch BETWEEN epoch({_AS_OF} - INTERVAL {d} DAY) AND epoch({end})"
+        for label, d, end in periods)
+    return f"""{wrote},
+    inside AS (SELECT * FROM wrote WHERE action = 'BAN' AND timestamp_epoch BETWEEN epoch({since}) AND epoch({until})),
+    lasting AS (SELECT DISTINCT client FROM chain WHERE forever OR fin > {AS_OF_EPOCH + 40 * 86400}),
+    counts AS (SELECT t, name, count(*) AS n FROM ({' UNION ALL '.join(entries)}) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, CASE WHEN t = 'busiest_day' THEN name END DESC, name) AS r FROM counts)
+    SELECT t AS "table", name, n FROM ranked WHERE r <= CASE t WHEN 'busiest_day' THEN 1 ELSE 20 END
+    UNION ALL {single} UNION ALL {overview}
+    UNION ALL SELECT 'recent_bans', client_ip, 1 FROM (FROM inside ORDER BY timestamp_epoch DESC, client_ip DESC LIMIT 10)"""
+
+
 # Replays end in further common table expressions.
 REPLAYS = {
     "ledger_replay": _replay("SELECT at_us, client, target, n, protocol, 'rate-limit' AS reason, false AS permanent FROM rate_trail", ""),
@@ -497,6 +527,7 @@ REPLAYS = {
     # all of the history within a week, newest first
     "history_append": _history_replay(AS_OF_EPOCH).replace("reason FROM chain", f"reason FROM chain WHERE at_s BETWEEN {AS_OF_EPOCH - 7 * 86400} AND {AS_OF_EPOCH}")
         + f" AND fin >= {AS_OF_EPOCH - 7 * 86400} ORDER BY timestamp_epoch DESC, client_ip DESC, action DESC LIMIT 50",
+    "report_bundle": _bundle("TIMESTAMP '2023-12-21'", "TIMESTAMP '2023-12-21'", "TIMESTAMP '2024-01-19 23:59:59'"),
 }
 
 
