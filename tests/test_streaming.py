@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 from tests.helpers import at, events, rows
 from tidewarden.operators import detect, ledger
@@ -49,6 +50,25 @@ def test_stream_ticks_equal_batch_ticks(spark, tmp_path):
         assert rows(spark.read.parquet(str(tmp_path / name)), *detect.DETECTION_COLUMNS) == want and want
 
 
+def test_streamed_queries_are_not_copied_into_windows(spark, tmp_path):
+    """A query per second in windows of 60 s every 20 s and every 25 s: windows take counts of panes of 20 s and 5 s."""
+    (tmp_path / "log").mkdir()
+    lines = [json.dumps({"time": at(t).isoformat() + "Z", "client": "c", "client_proto": "", "client_info": {"ip": ""}, "question": {"name": f"n{t % 7}.x.com", "host": ""}})
+             for t in [*range(300), 10_000]]
+    (tmp_path / "log" / "a.json").write_text("\n".join(lines))
+    plain = events(spark, [(t, "c", f"n{t % 7}.x.com", "dns") for t in range(300)])
+    for hop in (20, 25):
+        params = P.with_(check_interval=hop, rate_limit_max_requests=3)
+        for name, streamed, batch in [("rate", live_detect.stream_rate_limit_ticks, detect.rate_limit_ticks),
+                                      ("flood", live_detect.stream_subdomain_flood_ticks, detect.subdomain_flood_ticks)]:
+            found = streamed(live_detect.stream_events(stream_query_lines(spark, str(tmp_path / "log")), params), params)
+            nodes = re.findall(r"(Aggregate|Expand) \[", found._jdf.queryExecution().analyzed().toString())
+            assert nodes.index("Expand") < len(nodes) - 1 - nodes[::-1].index("Aggregate")  # the lowest aggregate is below any copying
+            run(found, tmp_path, f"{name}{hop}")
+            want = rows(batch(plain, params), *detect.DETECTION_COLUMNS)
+            assert rows(spark.read.parquet(str(tmp_path / f"{name}{hop}")), *detect.DETECTION_COLUMNS) == want and want
+
+
 def test_stream_ledger_equals_replay(spark, tmp_path):
     rng = random.Random(4)
     plain = sorted({(t, rng.choice(["hot", "hot", "a", "allowed"])) for t in rng.sample(range(3000), 120)})
