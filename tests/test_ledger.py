@@ -169,6 +169,31 @@ def test_blocklist_sync(spark):
     assert rows(timed.history, "action", "duration") == [("BAN", "60s")]
 
 
+def test_blocklist_sync_compares_all_tables_in_one_pass(spark):
+    table = bans(spark, ban("listed", source="external-blocklist"), ban("gone", source="external-blocklist"), ban("mine"), ban("noted", source=None))
+    named = addresses(spark, "listed", "new", "new", "allowed", "mine", "home", None)
+    allowed = spark.createDataFrame([("allowed", "a"), ("allowed", "b"), (None, "c")], WHITELIST)
+    home = P.with_(whitelist=("home",))
+    step = ledger.blocklist_sync(table, allowed, named, home, NOW, GOOD(spark))
+    assert rows(step.history, "action", "client_ip") == [("BAN", "new"), ("UNBAN", "gone")]
+    assert rows(step.active_bans, "client_ip") == [("listed",), ("mine",), ("new",), ("noted",)] and step.active_bans.columns == table.columns
+    assert rows(step.lifted, "client_ip") == [("gone",)] and rows(step.opened, "client_ip") == [("new",)]
+    dry = ledger.blocklist_sync(table, allowed, named, home.with_(dry_run=True), NOW, GOOD(spark))
+    assert rows(dry.history, "action", "client_ip", "duration", "reason") == [
+        ("DRY", ip, "dry-run", "dry-run (external-blocklist)") for ip in ("listed", "mine", "new")] + [("UNBAN", "gone", "-", "external-blocklist-removed")]
+    assert rows(dry.active_bans, "client_ip") == [("listed",), ("mine",), ("noted",)] and dry.opened is None
+    nobody = bans(spark, ban("x")).limit(0)
+    assert rows(ledger.blocklist_sync(nobody, allowed.limit(0), named.limit(0), P, NOW, GOOD(spark)).history) == []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with_exchanges = ledger.blocklist_sync(table, allowed, named, home, NOW, GOOD(spark)).history
+        plan = with_exchanges._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert rows(with_exchanges, "action", "client_ip") == [("BAN", "new"), ("UNBAN", "gone")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_total_list_failure_lifts_nothing(spark):
     table = bans(spark, ban("listed", source="external-blocklist"))
     step = ledger.blocklist_sync(table, whitelist(spark, "z"), addresses(spark, "x").filter("false"), P, NOW, GOOD(spark).filter("false"))

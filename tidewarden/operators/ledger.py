@@ -20,7 +20,7 @@ from tidewarden.functions.text import MAX_DURATION, duration_for_level, duration
 from tidewarden.operators.detect import detection_order, first_detection_per_client
 from tidewarden.operators.geo import geo_auto_unban
 from tidewarden.operators.membership import (
-    blocklist_new, blocklist_removed, not_already_banned, static_whitelist, whitelist_exclude, whitelist_hits,
+    not_already_banned, static_whitelist, whitelist_exclude, whitelist_hits,
 )
 from tidewarden.params import Params
 from tidewarden.sources.tables import upsert, whitelist_replace
@@ -192,35 +192,51 @@ def blocklist_bans(addresses: DataFrame, params: Params, now: int) -> DataFrame:
         F.lit(BLOCKLIST).alias("source"), F.lit("").alias("geoip_country"), F.lit("").alias("geoip_mode"))
 
 
+def _list_actions(bans: DataFrame, whitelist: DataFrame, desired: DataFrame, params: Params, good: DataFrame) -> DataFrame:
+    """Ban table, lists and allow list side by side, each exchanged once.
+
+    ``__wanted``: the lists name ``__address`` and nothing allows it. ``__action``: what becomes of the row, ``open``,
+    ``lift`` or ``keep``; null where a listed address gets no ban.
+    """
+    allowed = whitelist.select(F.col("ip_address").alias("__ip")).distinct().withColumn("__allowed", F.lit(True))
+    listed = desired.select(F.col("address").alias("__address")).distinct().join(allowed, F.col("__address") == F.col("__ip"), "left")
+    listed = listed.select("__address", "__allowed", F.lit(True).alias("__listed"))
+    both = bans.withColumn("__held", F.lit(True)).join(listed, F.col("client_ip") == F.col("__address"), "full")
+    wanted = F.col("__listed") & F.col("__allowed").isNull()
+    if params.whitelist:
+        wanted = wanted & ~F.col("__address").isin(*params.whitelist)
+    held, gone = F.col("__held").isNotNull(), F.lit(False)
+    if params.blocklist_auto_unban:
+        any_good = good.limit(1).agg(F.count("*") > 0).scalar()
+        gone = F.col("__listed").isNull() & (F.col("source") == BLOCKLIST) & any_good
+    both = both.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))
+    return both.withColumn("__action", F.when(held & gone, "lift").when(held, "keep").when(F.col("__wanted"), "open"))
+
+
 def blocklist_sync(bans: DataFrame, whitelist: DataFrame, desired: DataFrame, params: Params, now: int,
                    good: DataFrame) -> Step:
     """Ban what the lists name, lift what they no longer name.
 
     ``good`` has a row for every source with a usable copy. Without any, bans stay, where lifting
     all of them would open the door on a mere download failure; a good copy that became empty lifts.
+    An address that is named twice is banned once. A dry run notes all that is named, banned or not.
     """
+    both = _list_actions(bans, whitelist, desired, params, good)
+    opens = F.col("__wanted") if params.dry_run else F.col("__action") == "open"
+    changed = both.withColumn("__opens", F.coalesce(opens, F.lit(False))).filter("__opens OR __action = 'lift'")
+    made = F.col("__opens")
+    ban_text = F.lit("dry-run") if params.dry_run else duration_text(F.lit(params.blocklist_duration), F.lit(params.blocklist_duration == 0))
+    history = _history(
+        changed.select(F.coalesce("client_ip", "__address").alias("client_ip"), "__opens"), F.lit(now),
+        F.when(made, "DRY" if params.dry_run else "BAN").otherwise("UNBAN"), duration=F.when(made, ban_text).otherwise("-"),
+        reason=F.when(made, f"dry-run ({BLOCKLIST})" if params.dry_run else BLOCKLIST).otherwise("external-blocklist-removed"))
+    own = [F.col(f"`{c}`") for c in bans.columns]
+    kept = both.filter("__action = 'keep'").select(*own)
+    lifted = both.filter("__action = 'lift'").select(*own) if params.blocklist_auto_unban else None
     if params.dry_run:
-        listed = whitelist_exclude(static_whitelist(desired, params, "address"), whitelist, "address")
-        dry = _history(listed.withColumnRenamed("address", "client_ip"), F.lit(now), F.lit("DRY"),
-                       duration=F.lit("dry-run"), reason=F.lit(f"dry-run ({BLOCKLIST})"))
-        return _lift_removed(Step(bans, dry), bans, desired, good, params, now)
-    fresh = blocklist_new(static_whitelist(desired, params, "address"), whitelist, bans)
-    opened = blocklist_bans(fresh, params, now)
-    written = _history(opened, F.lit(now), F.lit("BAN"), reason=F.col("reason"),
-                       duration=duration_text(F.col("ban_duration"), F.col("is_permanent")))
-    step = Step(bans.unionByName(opened, allowMissingColumns=True), written, opened=opened)
-    return _lift_removed(step, bans, desired, good, params, now)
-
-
-def _lift_removed(step: Step, bans: DataFrame, desired: DataFrame, good: DataFrame, params: Params, now: int) -> Step:
-    if not params.blocklist_auto_unban:
-        return step
-    any_good = good.limit(1).agg(F.count("*") > 0).scalar()
-    gone = blocklist_removed(bans, desired).filter(any_good)
-    lifted = lift(step.active_bans, gone, "external-blocklist-removed", now)
-    lifted.history = step.history.unionByName(lifted.history)
-    lifted.opened = step.opened
-    return lifted
+        return Step(kept, history, lifted=lifted)
+    opened = blocklist_bans(both.filter("__action = 'open'").select(F.col("__address").alias("address")), params, now)
+    return Step(kept.unionByName(opened, allowMissingColumns=True), history, lifted=lifted, opened=opened)
 
 
 # -- manual commands ------------------------------------------------------------------------
