@@ -7,6 +7,8 @@ from tests.helpers import T0, at, rows
 from tidewarden.operators import bans as ban_tables
 from tidewarden.operators import ledger, membership
 from tidewarden.params import Params
+from tidewarden.plans import catalog
+from tidewarden.plans.fixtures import AS_OF_EPOCH, DAY
 from tidewarden.schemas import ACTIVE_BANS, DETECTIONS, OFFENSES, WHITELIST
 from tidewarden.sources import lists, tables
 
@@ -339,3 +341,45 @@ def test_dry_runs_ban_nobody(spark):
     assert rows(ledger.manual_actions(orders, table, whitelist(spark, "z"), NOW, dry), "action", "client_ip") == [
         ("DRY", "a"), ("DRY", "a"), ("DRY", "b"), ("DRY", "b"), ("UNBAN", "b")]
     assert rows(ledger.manual_ban_rows(orders, table, whitelist(spark, "z"), dry, NOW), "client_ip") == [("c",)]
+
+
+def counted(spark, hits):
+    """The detections, and how many of them have been worked out so far, over all uses."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return hits.mapInPandas(count, hits.schema), seen
+
+
+@pytest.mark.parametrize("name", ["ledger_replay_steps", "report_bundle"])
+def test_queries_of_steps_detect_once(spark, monkeypatch, name):
+    rng = random.Random(7)
+    drawn = {(rng.randrange(29 * DAY), rng.choice("abcde")) for _ in range(120)}
+    hits, seen = counted(spark, found(spark, *sorted(drawn)))
+    monkeypatch.setattr(catalog, "_watched_hits", lambda t: hits)
+    got = catalog.QUERIES[name](spark, "unused")
+    shown = got.collect()
+    assert seen.value == len(drawn)
+    whole = ledger.ledger_replay(found(spark, *sorted(drawn)), catalog.WATCHED, catalog.LOG_END).drop("offense_level")
+    if name == "ledger_replay_steps":
+        assert rows(got, *whole.columns) == rows(whole)
+        assert {r.timestamp_epoch > AS_OF_EPOCH - 5 * DAY for r in shown} == {True, False}
+    else:
+        within = whole.filter(F.col("timestamp_epoch").between(catalog.LOG_SINCE, catalog.LOG_UNTIL) & (F.col("action") == "BAN"))
+        assert ("kpis", "total_bans", within.count()) in shown and not within.isEmpty()
+
+
+def test_step_kept_in_a_folder_folds_once(spark, tmp_path):
+    past, raised = bans(spark, ban("c1", permanent=True), ban("c2", 5), ban("idle", 5)), offenses(spark, ("c2", 1, 5), ("idle", 2, 5))
+    plain = random_hits(spark, 8)
+    hits, seen = counted(spark, plain)
+    step = ledger.replay_step(hits, past, raised, P, NOW * 2, str(tmp_path / "opened"))
+    made = seen.value
+    want = ledger.replay_step(plain, past, raised, P, NOW * 2)
+    for table in ("history", "active_bans", "offenses", "opened", "lifted"):
+        assert rows(getattr(step, table).fillna("")) == rows(getattr(want, table).fillna("")), table
+    assert seen.value == made <= 2 * plain.count()

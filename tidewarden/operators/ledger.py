@@ -23,7 +23,7 @@ from tidewarden.operators.membership import (
     not_already_banned, static_whitelist, whitelist_exclude, whitelist_hits,
 )
 from tidewarden.params import Params
-from tidewarden.sources.tables import upsert, whitelist_replace
+from tidewarden.sources.tables import kept_once, upsert, whitelist_replace
 
 BLOCKLIST = "external-blocklist"
 
@@ -413,19 +413,26 @@ def _past(detections: DataFrame, bans: DataFrame | None, offenses: DataFrame | N
         known = raised if known is None else known.join(raised, "client", "full")
     for name in sorted({"level", "last", "free_at"} - set(known.columns)):
         known = known.withColumn(name, F.lit(_ALWAYS if name == "free_at" else 0).cast("long"))
-    concerned = known.join(detections.select("client"), "client", "left_semi")
+    concerned = known.join(detections.select("client").distinct(), "client", "left_semi")
     return concerned.select("client", F.lit(0).cast("long").alias("at_epoch"), F.lit(True).alias("resumed"),
                             "level", "last", "free_at")
 
 
-def replay_step(detections: DataFrame, bans: DataFrame, offenses: DataFrame, params: Params, until: int) -> Step:
+def replay_step(detections: DataFrame, bans: DataFrame, offenses: DataFrame, params: Params, until: int,
+                folder: str | None = None) -> Step:
     """The tables after all detections up to second ``until``; the next step starts from them.
 
     Bans that end by then are lifted. Steps one after the other give what one step over
     all of the time gives. Detections are of clients that are not allowed.
+
+    All tables of the step come from the bans it opens. With ``folder``, a new one on a file system that all
+    executors share, these are folded and written there at once and read back; without it every action on a
+    table folds the detections again, twice for a table that needs the bans twice.
     """
     detections = detections.filter(F.unix_seconds("at") <= until)
     opened = replay_bans(detections, params, bans, offenses)
+    if folder is not None:
+        opened = kept_once(opened, folder)
     start = F.col("at_epoch")
     fresh = opened.select(
         F.col("client").alias("client_ip"), F.col("target").alias("domain"), F.col("n").alias("count"), epoch_text(start).alias("ban_time"),

@@ -326,14 +326,15 @@ def _watched_hits(t: Tables) -> DataFrame:
 @query
 def ledger_replay_steps(t: Tables) -> DataFrame:
     """As ``ledger_replay_watched``, in two steps: the second starts from the tables that the first has written."""
-    found, folder = _watched_hits(t), _shared_folder(t)
+    folder = _shared_folder(t)
+    found = tables.kept_once(_watched_hits(t), f"{folder}/found")
     none = [t.spark.createDataFrame([], s) for s in (ACTIVE_BANS, OFFENSES)]
-    first = ledger.replay_step(found, *none, WATCHED, AS_OF_EPOCH - 5 * DAY)
+    first = ledger.replay_step(found, *none, WATCHED, AS_OF_EPOCH - 5 * DAY, f"{folder}/first")
     tables.write_snapshot(first.active_bans, f"{folder}/bans")
     tables.write_snapshot(first.offenses, f"{folder}/offenses")
     later = found.filter(F.unix_seconds("at") > AS_OF_EPOCH - 5 * DAY)
     second = ledger.replay_step(later, tables.read_snapshot(t.spark, f"{folder}/bans", ACTIVE_BANS),
-                                tables.read_snapshot(t.spark, f"{folder}/offenses", OFFENSES), WATCHED, LOG_END)
+                                tables.read_snapshot(t.spark, f"{folder}/offenses", OFFENSES), WATCHED, LOG_END, f"{folder}/second")
     return first.history.unionByName(second.history)
 
 
@@ -560,7 +561,8 @@ def report_bundle(t: Tables) -> DataFrame:
     """From detections to the tables of a report: replayed, written, and read back as history and ban table."""
     folder = _shared_folder(t)
     none = [t.spark.createDataFrame([], s) for s in (ACTIVE_BANS, OFFENSES)]
-    step = ledger.replay_step(_watched_hits(t), *none, WATCHED, LOG_END)
+    found = tables.kept_once(_watched_hits(t), f"{folder}/found")
+    step = ledger.replay_step(found, *none, WATCHED, LOG_END, f"{folder}/opened")
     tables.history_append(step.history, f"{folder}/history", "replay", 0)
     tables.write_snapshot(step.active_bans, f"{folder}/bans")
     made = report.report_bundle(tables.read_history(t.spark, f"{folder}/history"),

@@ -126,3 +126,9 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, before:
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}")
+
+
+def kept_once(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, computed and written now; whatever uses them reads the file."""
+    version = write_snapshot(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/version={version}")
